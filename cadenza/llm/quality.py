@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._text import NONSPACE, slices, strings, text_bytes, words
-from .toxicity import in_fold, labelled
+from .toxicity import in_fold, labelled_rows
 
 #: Labelled rows that training takes at most.
 SAMPLE = 20000
@@ -191,8 +191,19 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0, most: int = SAMPLE) -> Model:
     """A model of labels.quality, fitted without the rows whose id's crc32 leaves `held`."""
-    texts, y = labelled(docs, labels, "quality", ~in_fold("_id", parts, held), most)
-    return fit(describe(strings(pa.array(texts, pa.string()))), y)
+    width = len(FEATURES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = describe(strings(batch.column(2)))
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), width).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), flat], ["h", "id", "label", "x"])
+
+    # Only features come to the driver, `most` rows of them.
+    rows = labelled_rows(docs, labels, "quality", ~in_fold("_id", parts, held), most)
+    found = rows.mapInArrow(run, "h long, id long, label int, x array<double>").orderBy("h", "id", "x").limit(most).toArrow()
+    x = found["x"].combine_chunks().values.to_numpy().reshape(-1, width) if len(found) else np.zeros((0, width))
+    return fit(x, found["label"].to_numpy().astype(np.int64))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -32,6 +32,8 @@ BUCKETS = 1 << 16
 DIM = 8
 NGRAMS = (3, 4)
 EPOCHS = 12
+#: Bytes of training text that are cut into subwords at once.
+FIT_BYTES = 1 << 18
 RATE = 0.5
 #: Texts that a bucket must be in to count.
 LEAST_TEXTS = 3
@@ -96,23 +98,20 @@ def _sums(x: np.ndarray, begin: np.ndarray) -> np.ndarray:
 class _Batch:
     """Some texts' sparse rows, and the same entries by bucket."""
 
-    own: np.ndarray
+    own: slice
     col: np.ndarray
     val: np.ndarray
-    doc: np.ndarray
-    begin: np.ndarray
+    many: np.ndarray
     used: np.ndarray
     order: np.ndarray
     bound: np.ndarray
 
     @staticmethod
-    def of(own: np.ndarray, at: np.ndarray, col: np.ndarray, val: np.ndarray) -> _Batch:
-        pick = np.concatenate([np.arange(at[i], at[i + 1]) for i in own])
-        many = at[own + 1] - at[own]
-        c = col[pick]
-        order = np.argsort(c, kind="stable")
+    def of(a: int, b: int, at: np.ndarray, col: np.ndarray, val: np.ndarray) -> _Batch:
+        c = col[at[a] : at[b]]
+        order = np.argsort(c, kind="stable").astype(np.int32)
         used, bound = np.unique(c[order], return_index=True)
-        return _Batch(own, c, val[pick], np.repeat(np.arange(len(own)), many), np.cumsum(many) - many, used, order, bound)
+        return _Batch(slice(a, b), c, val[at[a] : at[b]], np.diff(at[a : b + 1]), used, order, bound.astype(np.int32))
 
 
 def fit(texts: list[str], labels: np.ndarray, dim: int = DIM, epochs: int = EPOCHS) -> Model:
@@ -121,21 +120,25 @@ def fit(texts: list[str], labels: np.ndarray, dim: int = DIM, epochs: int = EPOC
         return Model(np.zeros(BUCKETS), -1e3)
     rng = np.random.default_rng(SEED)
     column = strings(pa.array(texts, pa.string()))
-    rows, cols, vals = [], [], []
-    for lo, hi in slices(column):
+    many, cols, vals = [], [], []
+    for lo, hi in slices(column, FIT_BYTES):
         w = words(column.slice(lo, hi - lo))
         bucket, owner = subwords(w)
-        doc = w.text_of()
-        weight = 1 / np.bincount(owner, minlength=len(w.hash))[owner] / np.diff(w.at)[doc[owner]]
-        key, at = np.unique((doc[owner] + lo) * BUCKETS + bucket, return_inverse=True)
-        rows.append(key // BUCKETS)
-        cols.append(key % BUCKETS)
-        vals.append(np.bincount(at, weight))
-    row, col, val = np.concatenate(rows), np.concatenate(cols), np.concatenate(vals).astype(np.float32) * 10
+        doc = w.text_of()[owner]
+        weight = 10 / np.bincount(owner, minlength=len(w.hash))[owner] / np.diff(w.at)[doc]
+        key, at = np.unique(doc * BUCKETS + bucket, return_inverse=True)
+        many.append(np.bincount(key // BUCKETS, minlength=hi - lo))
+        cols.append((key % BUCKETS).astype(np.int32))
+        vals.append(np.bincount(at, weight).astype(np.float32))
+    col, val, many = np.concatenate(cols), np.concatenate(vals), np.concatenate(many)
     known = np.bincount(col, minlength=BUCKETS) >= LEAST_TEXTS  # what few texts have tells little about others
-    row, col, val = row[known[col]], col[known[col]], val[known[col]]
-    at = np.searchsorted(row, np.arange(len(texts) + 1))
-    batches = [_Batch.of(own, at, col, val) for own in np.array_split(rng.permutation(len(texts)), -(-len(texts) // 64))]
+    own = known[col]
+    many = np.add.reduceat(np.append(own, False), np.minimum(np.cumsum(many) - many, len(own))) * (many > 0)
+    col, val = col[own], val[own]
+    at = np.concatenate([[0], np.cumsum(many)])
+    # The texts come in the order of a hash, so runs of them are random batches.
+    bounds = [*range(0, len(texts), 64), len(texts)]
+    batches = [_Batch.of(a, b, at, col, val) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
     emb = rng.normal(0, 0.1, (BUCKETS, dim)).astype(np.float32)
     soft = rng.normal(0, 0.3, (dim, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
@@ -144,14 +147,14 @@ def fit(texts: list[str], labels: np.ndarray, dim: int = DIM, epochs: int = EPOC
         rate = np.float32(RATE * (1 - epoch / epochs))
         for k in rng.permutation(len(batches)):
             x = batches[k]
-            mean = _sums(emb[x.col] * x.val[:, None], x.begin)
+            mean = _sums(emb[x.col] * x.val[:, None], np.cumsum(x.many) - x.many)
             logit = mean @ soft + bias
             logit -= logit.max(1, keepdims=True)
             prob = np.exp(logit)
             prob /= prob.sum(1, keepdims=True)
-            prob[np.arange(len(x.own)), labels[x.own]] -= 1
+            prob[np.arange(len(prob)), labels[x.own]] -= 1
             back = prob @ soft.T
-            g_emb = _sums((back[x.doc] * x.val[:, None])[x.order], x.bound)
+            g_emb = _sums((np.repeat(back, x.many, 0) * x.val[:, None])[x.order], x.bound)
             g_soft, g_bias = mean.T @ prob, prob.sum(0)
             seen_e[x.used] += g_emb * g_emb
             seen_s += g_soft * g_soft
@@ -164,14 +167,19 @@ def fit(texts: list[str], labels: np.ndarray, dim: int = DIM, epochs: int = EPOC
     return Model(score, bias[1] - bias[0])
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, use: Column, most: int) -> tuple[list[str], np.ndarray]:
-    """Texts and labels of at most `most` rows that `use` admits, by the hash of their id."""
-    known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label")).where(use & F.col("_label").isin(0, 1))
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, use: Column, most: int) -> DataFrame:
+    """Rows _h, _id, _text, _label of the labelled documents that `use` admits, the `most` ids of the smallest hash."""
+    known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("_label")).where(use & F.col("_label").isin(0, 1))
     known = known.groupBy("_id").agg(F.min("_label").alias("_label")).withColumn("_h", F.xxhash64("_id")).orderBy("_h", "_id").limit(most)
     own = docs.select(F.col("doc_id").alias("_doc"), F.col("text").cast("string").alias("_text"))
-    rows = own.join(F.broadcast(known), F.col("_doc") == F.col("_id")).select("_h", "_id", "_text", "_label")  # at most `most` ids
-    rows = rows.orderBy("_h", "_id", "_text").limit(most).collect()
-    return [r["_text"] or "" for r in rows], np.array([r["_label"] for r in rows], np.int64)
+    joined = own.join(F.broadcast(known), F.col("_doc") == F.col("_id"))  # at most `most` ids
+    return joined.select("_h", "_id", "_text", "_label")
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, use: Column, most: int) -> tuple[list[str], np.ndarray]:
+    """Texts and labels of at most `most` rows, in the order of the hash."""
+    rows = labelled_rows(docs, labels, label, use, most).orderBy("_h", "_id", "_text").limit(most).toArrow()
+    return rows["_text"].fill_null("").to_pylist(), rows["_label"].to_numpy().astype(np.int64)
 
 
 def train(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, most: int = SAMPLE) -> Model:
