@@ -112,10 +112,11 @@ def classes(docs: DataFrame) -> DataFrame:
     """Rows doc_id, n (set size), component (smallest doc_id reachable; the own one without links)."""
     sig = keep(signatures(docs), "signatures")
     named = sig.where("n > 0 AND doc_id IS NOT NULL")
-    heads = named.groupBy("digest", "n").agg(F.min("doc_id").alias("rep"))
+    # Written, so that the joins with it deal both sides afresh and a class of very many copies can be split.
+    heads = keep(named.groupBy("digest", "n").agg(F.min("doc_id").alias("rep")), "heads")
     first = named.withColumnRenamed("digest", "_digest").withColumnRenamed("n", "_n")
     reps = keep(
-        first.join(heads, (F.col("_digest") == F.col("digest")) & (F.col("doc_id") == F.col("rep")))
+        first.join(heads, (F.col("_digest") == F.col("digest")) & (F.col("_n") == F.col("n")) & (F.col("doc_id") == F.col("rep")))
         .groupBy("rep", "n", "digest")
         .agg(F.any_value("u").alias("u"), F.any_value("v").alias("v")),
         "representatives",
