@@ -32,7 +32,7 @@ BUCKETS = 1 << 16
 DIM = 8
 NGRAMS = (3, 4)
 EPOCHS = 12
-#: Bytes of training text that are cut into subwords at once.
+#: Bytes of text that are cut into subwords at once.
 FIT_BYTES = 1 << 18
 RATE = 0.5
 #: Texts that a bucket must be in to count.
@@ -74,7 +74,7 @@ class Model:
 
     def predict(self, column: pa.Array) -> np.ndarray:
         out = [np.zeros(0)]
-        for lo, hi in slices(column):
+        for lo, hi in slices(column, FIT_BYTES):
             w = words(column.slice(lo, hi - lo))
             bucket, owner = subwords(w)
             each = np.bincount(owner, self.score[bucket], len(w.hash)) / np.maximum(np.bincount(owner, minlength=len(w.hash)), 1)
