@@ -93,6 +93,10 @@ def agg_column(rel: Relation, path: Path, name: str, agg: str, args: tuple, kwar
 
 
 def _type(rel: Relation, sql: str) -> str:
+    plain = re.fullmatch(r"`([^`.]+)\.([^`]+)`", sql)
+    for path in ((), *rel.paths) if plain else ():
+        if rel.alias(path) == plain[1]:
+            return dict(rel.engine.scan(rel.model_at(path)).dtypes)[plain[2]]
     return rel.frame().select(F.expr(sql).alias("x")).dtypes[0][1]
 
 

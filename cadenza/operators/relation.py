@@ -72,10 +72,12 @@ class Relation:
         if (path, name) in stack:
             raise CadenzaError(f"column {name} of {model.name} is defined by itself")
         if column is None or column.sql is None or column.sql.strip() == name:
-            if column is None and name not in self.engine.physical_columns(model):
+            if name not in self.engine.physical_columns(model):
                 raise UnknownName(f"model {model.name} has no column {name!r}")
             sql = self.physical(path, name)
         elif re.fullmatch(r"[^\W\d]\w*", column.sql.strip()) and not model.column(column.sql.strip()):
+            if column.sql.strip() not in self.engine.physical_columns(model):
+                raise UnknownName(f"{model.name}.{name}: its table has no column {column.sql.strip()!r}")
             sql = self.physical(path, column.sql.strip())
         else:
             sql = "(" + self.expand(path, column.sql, (*stack, (path, name))) + ")"
