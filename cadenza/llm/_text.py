@@ -7,7 +7,8 @@ Slices are bounded in bytes (`slices`), which bounds the temporary arrays.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -84,6 +85,25 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+def release() -> None:
+    """Gives freed memory back to the system: workers and the driver live on after a stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+def tidy(run: Callable) -> Callable:
+    """A function of batches that releases memory when a task is done."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
 @dataclass
 class Words:
     """Words of consecutive texts: byte ranges, 64-bit hashes, and texts as ranges of words."""

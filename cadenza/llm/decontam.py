@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import Words, ngrams, slices, strings, words
+from ._text import Words, ngrams, slices, strings, tidy, words
 
 WINDOW = 10
 SHINGLE = 3
@@ -122,7 +122,7 @@ def shingle_counts(docs: DataFrame, win: Windows, text: str = "text") -> dict[in
 
     if not tables:
         return {}
-    found = docs.select(F.col(text).cast("string")).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    found = docs.select(F.col(text).cast("string")).mapInArrow(tidy(count), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     return {r.token & 0xFFFFFFFFFFFFFFFF: r.n for r in found.collect()}  # bounded by the block
 
 
@@ -218,7 +218,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
             )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, n_words long, n_hit long, items array<string>"
+        tidy(run), "doc_id long, n_words long, n_hit long, items array<string>"
     )
 
 
@@ -232,7 +232,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW)
             clean = [not n for _, n, _ in _matches(strings(batch.column(at)), blocks)]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def digest(items: list[str]) -> str:

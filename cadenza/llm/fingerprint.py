@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import NONSPACE, Words, mix, ngrams, slices, strings, words
+from ._text import NONSPACE, Words, mix, ngrams, slices, strings, tidy, words
 
 SAMPLES = 96
 POOL = 1 << 12
@@ -161,7 +161,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     ["doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
                 )
 
-    return ordered(docs).mapInArrow(run, SCHEMA)
+    return ordered(docs).mapInArrow(tidy(run), SCHEMA)
 
 
 def digest(text: str) -> str:

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._io import keep
+from ._text import tidy
 
 LEAST_DOCS = 3
 LEAST_CHARS = 20
@@ -63,7 +64,7 @@ def document_lines(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*_halves(keys), pa.array(ids, pa.int64())], ["h1", "h2", "doc_id"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    return own.mapInArrow(run, "h1 long, h2 long, doc_id long")
+    return own.mapInArrow(tidy(run), "h1 long, h2 long, doc_id long")
 
 
 def _merged(rows: DataFrame) -> DataFrame:
@@ -156,7 +157,7 @@ def line_report(docs: DataFrame) -> DataFrame:
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     joined = own.join(gone, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "_drop")
-    return joined.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept string")
+    return joined.mapInArrow(tidy(run), "doc_id long, n_lines long, n_dropped long, kept string")
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
@@ -180,4 +181,4 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names)
 
     joined = docs.join(gone, docs["doc_id"] == F.col("_line_id"), "left").drop("_line_id")
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(tidy(run), docs.schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._io import keep
-from ._text import ALNUM, Words, mix, slices, strings, words
+from ._text import ALNUM, Words, mix, slices, strings, tidy, words
 
 VOCABULARY = 1 << 20
 LEAST = 2
@@ -52,7 +52,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 word, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(F.col("text").cast("string")).mapInArrow(tidy(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Vocabulary:
@@ -128,7 +128,7 @@ class CommonPairs:
                     n = np.bincount(at, weight, len(found)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], ["pair", "n"])
 
-        rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+        rows = docs.select(F.col("text").cast("string")).mapInArrow(tidy(run), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
         got = rows.toArrow()
         pair, n = got["pair"].to_numpy(), got["n"].to_numpy()
         order = np.argsort(pair)
@@ -186,7 +186,7 @@ def _packs(docs: DataFrame, known: Vocabulary, common: CommonPairs, parts: int)
                 yield pack(batch.column(0).slice(lo, hi - lo), texts.slice(lo, hi - lo), number)
                 number += 1
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _PACK)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), _PACK)
 
 
 def score_documents(docs: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._io import components, keep
-from ._text import NONSPACE, mix, shingle_sets, slices, strings, words
+from ._text import NONSPACE, mix, shingle_sets, slices, strings, tidy, words
 
 SHINGLE = 5
 PERCENT = 75
@@ -78,7 +78,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             )
 
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return own.mapInArrow(run, "doc_id long, n long, digest binary, u array<long>, v array<long>")
+    return own.mapInArrow(tidy(run), "doc_id long, n long, digest binary, u array<long>, v array<long>")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
@@ -89,7 +89,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
             rows = [s.view(np.int64) for sets in _sets(strings(batch.column(1))) for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], ["id", "set"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, set array<long>")
+    return docs.select("id", "text").mapInArrow(tidy(run), "id long, set array<long>")
 
 
 def _similar(a: str, b: str) -> str:

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._text import tidy
+
 ROUNDS = 8
 KINDS = ("email", "iban", "card", "ssn", "phone", "ip", "date")
 
@@ -245,4 +247,4 @@ def replace_pii(docs: DataFrame, key: bytes) -> DataFrame:
                 ["doc_id", "text", "n_found", "spans"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, text string, n_found long, spans string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, text string, n_found long, spans string")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import NONSPACE, slices, strings, text_bytes, words
+from ._text import NONSPACE, slices, strings, text_bytes, tidy, words
 from .toxicity import in_fold, labelled_rows
 
 #: Labelled rows that training takes at most.
@@ -201,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, parts: int = 5, held: int = 0, mos
 
     # Only features come to the driver, `most` rows of them.
     rows = labelled_rows(docs, labels, "quality", ~in_fold("_id", parts, held), most)
-    found = rows.mapInArrow(run, "h long, id long, label int, x array<double>").orderBy("h", "id", "x").limit(most).toArrow()
+    found = rows.mapInArrow(tidy(run), "h long, id long, label int, x array<double>").orderBy("h", "id", "x").limit(most).toArrow()
     x = found["x"].combine_chunks().values.to_numpy().reshape(-1, width) if len(found) else np.zeros((0, width))
     return fit(x, found["label"].to_numpy().astype(np.int64))
 
@@ -214,4 +214,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             p = model.predict(describe(strings(batch.column(1))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, score double")

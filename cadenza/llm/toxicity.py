@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._text import Words, mix, powers, slices, strings, words
+from ._text import Words, mix, powers, release, slices, strings, tidy, words
 
 #: Labelled rows that training takes at most.
 SAMPLE = 5000
@@ -131,6 +131,8 @@ def fit(texts: list[str], labels: np.ndarray, dim: int = DIM, epochs: int = EPOC
         cols.append((key % BUCKETS).astype(np.int32))
         vals.append(np.bincount(at, weight).astype(np.float32))
     col, val, many = np.concatenate(cols), np.concatenate(vals), np.concatenate(many)
+    del cols, vals, column
+    release()
     known = np.bincount(col, minlength=BUCKETS) >= LEAST_TEXTS  # what few texts have tells little about others
     own = known[col]
     many = np.add.reduceat(np.append(own, False), np.minimum(np.cumsum(many) - many, len(own))) * (many > 0)
@@ -164,6 +166,8 @@ def fit(texts: list[str], labels: np.ndarray, dim: int = DIM, epochs: int = EPOC
             bias -= rate * g_bias / np.sqrt(seen_b)
     emb[~known] = 0
     score = emb @ (soft[:, 1] - soft[:, 0]) * 10
+    del batches, col, val, x
+    release()
     return Model(score, bias[1] - bias[0])
 
 
@@ -194,7 +198,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.predict(strings(batch.column(1))))], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
@@ -205,4 +209,4 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(model.predict(strings(batch.column(at))) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
