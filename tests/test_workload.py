@@ -1,6 +1,7 @@
 """Every registered query of the engine against its SQL in DuckDB, on the smallest tables."""
 
 import math
+import numbers
 import os
 
 import duckdb
@@ -26,7 +27,7 @@ def rows(df: pd.DataFrame) -> list[tuple]:
     def plain(x):
         if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and x != x):
             return ""
-        return x if isinstance(x, float) else str(x)
+        return float(x) if isinstance(x, numbers.Number) and not isinstance(x, bool) else str(x)
 
     made = [tuple(plain(x) for x in r) for r in df[sorted(df.columns)].itertuples(index=False)]
     return sorted(made, key=lambda r: [f"{x:.4g}" if isinstance(x, float) else x for x in r])
