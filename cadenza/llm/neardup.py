@@ -16,7 +16,7 @@ Candidates, without pairs of a whole bucket:
 Components are found by the distributed large-star/small-star rounds of `_io.components`.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing; a text of fewer
-than five words is one shingle; rows that repeat a doc_id are each compared and share a component; a null doc_id is linked with nothing
+than five words is one shingle; equal rows that repeat a doc_id share a component; of different texts under one doc_id each has its own row, but links are verified on one of them; a null doc_id is linked with nothing
 and kept. Other columns don't matter.
 """
 
