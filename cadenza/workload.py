@@ -8,9 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import facade, search
+from . import facade, graph, search
 from .engine import Engine
 from .security import ColumnFilterRule, JoinFilterRule, Policy
+from .sources import dbt, osi
 
 TODAY = datetime.date(1998, 7, 15)
 
@@ -305,3 +306,53 @@ _add("bm25_tags", f"WITH d AS ({_TAGS}), n AS (SELECT count(*) n, avg(len(t)) a
      lambda s, d: search.tag_search(s.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("id"), F.array("event_type", F.concat(F.lit("u"), (F.col("user_id") % 7).cast("string"))).alias("entities")), ["u3", "click"]).select("id", F.round("score", 9).alias("score")))
 _add("rank_fusion", "WITH a AS (SELECT o_orderkey id, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) r FROM orders), b AS (SELECT o_orderkey id, row_number() OVER (ORDER BY o_custkey DESC, o_orderkey) r FROM orders) SELECT id, round(sum(1.0 / (60 + r)), 9) score FROM (SELECT * FROM a WHERE r <= 100 UNION ALL SELECT * FROM b WHERE r <= 100) GROUP BY 1", None,
      lambda s, d: search.fuse([s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col(c).alias("score")) for c in ("o_totalprice", "o_custkey")]).select("id", F.round("score", 9).alias("score")))
+
+# Imported definitions, and the graph of models and notes
+_DBT = {
+    "semantic_models": [
+        {
+            "name": "sales", "model": "ref('orders')", "defaults": {"agg_time_dimension": "o_orderdate"},
+            "entities": [{"name": "sale", "type": "primary", "expr": "o_orderkey"}, {"name": "buyer", "type": "foreign", "expr": "o_custkey"}],
+            "dimensions": [{"name": "status", "type": "categorical", "expr": "o_orderstatus"}, {"name": "o_orderdate", "type": "time"}],
+            "measures": [{"name": "revenue", "agg": "sum", "expr": "o_totalprice"}, {"name": "n", "agg": "count", "expr": 1}, {"name": "n_big", "agg": "sum_boolean", "expr": "o_totalprice > 200000"}],
+        },
+        {"name": "buyers", "model": "ref('customer')", "entities": [{"name": "buyer", "type": "primary", "expr": "c_custkey"}], "dimensions": [{"name": "segment", "type": "categorical", "expr": "c_mktsegment"}]},
+    ],
+    "metrics": [
+        {"name": "aov", "type": "ratio", "type_params": {"numerator": "revenue", "denominator": "n"}},
+        {"name": "built", "type": "simple", "type_params": {"measure": "revenue"}, "filter": "{{ Dimension('buyer__segment') }} = 'BUILDING'"},
+    ],
+}
+_OSI = {
+    "version": "1.0",
+    "semantic_model": [{
+        "name": "sales",
+        "datasets": [
+            {"name": "orders", "source": "orders", "primary_key": ["o_orderkey"], "fields": [{"name": n, "expression": n} for n in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")]},
+            {"name": "customer", "source": "customer", "primary_key": ["c_custkey"], "fields": [{"name": n, "expression": n} for n in ("c_custkey", "c_nationkey", "c_acctbal")]},
+        ],
+        "relationships": [{"name": "buyer", "from": "orders", "to": "customer", "from_columns": ["o_custkey"], "to_columns": ["c_custkey"]}],
+        "metrics": [
+            {"name": "mean_price", "expression": "SUM(o_totalprice) / NULLIF(COUNT(*), 0)"}, {"name": "mid", "expression": "PERCENTILE_CONT(0.5) WITHIN GROUP (ORDER BY o_totalprice)"},
+            {"name": "thousands", "expression": "SUM(o_totalprice / 1000)"}, {"name": "owed", "expression": "SUM(CASE WHEN customer.c_acctbal < 0 THEN orders.o_totalprice END)"},
+        ],
+    }],
+}
+
+
+def _imported(made, model: str, dimension: str, *measures: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        e = Engine(spark, folder, today=TODAY)
+        made.register(e)
+        return _flat(e.execute({"source_model": model, "dimensions": [dimension], "measures": [{"formula": m, "name": m} for m in measures]}).df)
+
+    return run
+
+
+_add("dbt_import", "SELECT o_orderstatus sales__status, sum(o_totalprice) sales__revenue, sum(o_totalprice) / count(*) sales__aov, sum((o_totalprice > 200000)::int) sales__n_big, sum(o_totalprice) FILTER (WHERE c_mktsegment = 'BUILDING') sales__built FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1", None,
+     _imported(dbt.convert([_DBT]), "sales", "status", "revenue", "aov", "n_big", "built"))
+_add("osi_import", "SELECT o_orderstatus orders__o_orderstatus, sum(o_totalprice) / count(*) orders__mean_price, median(o_totalprice) orders__mid, sum(o_totalprice / 1000) orders__thousands, sum(o_totalprice) FILTER (WHERE c_acctbal < 0) orders__owed FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1", None,
+     _imported(osi.convert([_OSI]), "orders", "o_orderstatus", "mean_price", "mid", "thousands", "owed"))
+_add("graph_filter", "SELECT 'memory:' || event_id AS id FROM events WHERE event_type = 'click'", None,
+     lambda s, d: graph.select(engine(s, d), "MATCH (m:Memory)-[:MENTIONS]->(a:Model)-[:JOINS*1..2]->(b:Model {id: 'nation'}) RETURN m.id AS id",
+                               s.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("id"), F.array(F.when(F.col("event_type") == "click", "orders").otherwise("part")).alias("entities"))))
