@@ -114,13 +114,15 @@ class _Batch:
         return _Batch(slice(a, b), c, val[at[a] : at[b]], np.diff(at[a : b + 1]), used, order, bound.astype(np.int32))
 
 
-def fit(texts: list[str], labels: np.ndarray, dim: int = DIM, epochs: int = EPOCHS) -> Model:
+def fit(texts: pa.Array, labels: np.ndarray, dim: int = DIM, epochs: int = EPOCHS) -> Model:
     """Joint training; each text is a sparse row of bucket weights that sum to 1."""
     if not len(labels):
         return Model(np.zeros(BUCKETS), -1e3)
     rng = np.random.default_rng(SEED)
-    column = strings(pa.array(texts, pa.string()))
+    column = strings(texts)
     many, cols, vals = [], [], []
+    small = np.min_scalar_type(BUCKETS - 1)
+    held = np.zeros(BUCKETS, np.int64)
     for lo, hi in slices(column, FIT_BYTES):
         w = words(column.slice(lo, hi - lo))
         bucket, owner = subwords(w)
@@ -128,15 +130,19 @@ def fit(texts: list[str], labels: np.ndarray, dim: int = DIM, epochs: int = EPOC
         weight = 10 / np.bincount(owner, minlength=len(w.hash))[owner] / np.diff(w.at)[doc]
         key, at = np.unique(doc * BUCKETS + bucket, return_inverse=True)
         many.append(np.bincount(key // BUCKETS, minlength=hi - lo))
-        cols.append((key % BUCKETS).astype(np.int32))
+        cols.append((key % BUCKETS).astype(small))
         vals.append(np.bincount(at, weight).astype(np.float32))
-    col, val, many = np.concatenate(cols), np.concatenate(vals), np.concatenate(many)
-    del cols, vals, column
+        held += np.bincount(cols[-1], minlength=BUCKETS)
+    known = held >= LEAST_TEXTS  # what few texts have tells little about others
+    for k in range(len(cols)):
+        own = known[cols[k]]
+        many[k] = np.bincount(np.repeat(np.arange(len(many[k])), many[k])[own], minlength=len(many[k]))
+        cols[k], vals[k] = cols[k][own], vals[k][own]
+    many = np.concatenate(many)
+    col, cols = np.concatenate(cols), None
+    val, vals = np.concatenate(vals), None
+    del column, w, bucket, owner, doc, weight, key
     release()
-    known = np.bincount(col, minlength=BUCKETS) >= LEAST_TEXTS  # what few texts have tells little about others
-    own = known[col]
-    many = np.add.reduceat(np.append(own, False), np.minimum(np.cumsum(many) - many, len(own))) * (many > 0)
-    col, val = col[own], val[own]
     at = np.concatenate([[0], np.cumsum(many)])
     # The texts come in the order of a hash, so runs of them are random batches.
     bounds = [*range(0, len(texts), 64), len(texts)]
@@ -180,10 +186,10 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, use: Column, m
     return joined.select("_h", "_id", "_text", "_label")
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, use: Column, most: int) -> tuple[list[str], np.ndarray]:
+def labelled(docs: DataFrame, labels: DataFrame, label: str, use: Column, most: int) -> tuple[pa.Array, np.ndarray]:
     """Texts and labels of at most `most` rows, in the order of the hash."""
     rows = labelled_rows(docs, labels, label, use, most).orderBy("_h", "_id", "_text").limit(most).toArrow()
-    return rows["_text"].fill_null("").to_pylist(), rows["_label"].to_numpy().astype(np.int64)
+    return strings(rows["_text"]), rows["_label"].to_numpy().astype(np.int64)
 
 
 def train(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, most: int = SAMPLE) -> Model:
