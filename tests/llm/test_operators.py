@@ -270,6 +270,27 @@ def test_lm_scores(spark, monkeypatch):
     assert lm.score_documents(table(spark, [])).count() == 0
 
 
+def rare_words(n_docs, n_words, common):
+    """Texts of few common words and many that occur once or in two documents only."""
+    out = []
+    for k in range(n_docs):
+        rng = random.Random(k)
+        w = [f"c{rng.randrange(common)}" if rng.random() < 0.7 else f"r{k // 2}x{rng.randrange(n_words)}" for _ in range(n_words)]
+        out.append((100 + k, " ".join([f"first{k}", *w, "once", f"pair{k // 3}", f"of{k // 3}"]), "a"))
+    return out
+
+
+@pytest.mark.parametrize(("docs", "more"), [(rare_words(30, 40000, 500), {}), ([*ODD, *rare_words(40, 90, 20)], {"most": 64}), ([*ODD, *rare_words(9, 30, 9)], {"most": 0})])
+def test_lm_counts_rare_words_apart(spark, docs, more):
+    want = brute_lm(docs)
+    if not more:
+        assert sum(w[1] for w in want) > lm.VOCABULARY
+    got = sorted([(r.doc_id, r.n_words, r.log10_sum) for r in lm.score_documents(table(spark, docs), **more).collect()], key=str)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    for g, w in zip(got, want, strict=True):
+        assert g[2] == (pytest.approx(w[2]) if w[2] is not None else None)
+
+
 def test_fingerprints_follow_generalised_jaccard(spark):
     a = prose(1, 400, 60)
     b = fingerprint.edit(a, prose(2, 400, 60))
