@@ -7,8 +7,8 @@ at level 0. When a level has `FANOUT` runs, they are merged into one of the next
 there are never more than FANOUT runs a level and log(batches) levels. At the end all levels
 are merged: a key found in at least `LEAST_DOCS` documents keeps its lines only in the document with the largest id.
 
-Counting is per document before any shuffle, so a line that fills a third of all lines
-costs each task one row; texts are shuffled once, by id, to meet the list of their dropped keys.
+Lines are made distinct by document, then counted within tasks before they are dealt by line, so a line that fills a third of all lines
+costs each task one row there; texts are shuffled once, by id, to meet the list of their dropped keys.
 
 Defined cases: a null or empty text is one empty line; lines under `LEAST_CHARS` code points (stripped) never
 go; rows that repeat a doc_id count as one document and lose the same lines; rows with a null
@@ -52,7 +52,7 @@ def _halves(keys: list[bytes]) -> tuple[pa.Array, pa.Array]:
 
 
 def document_lines(docs: DataFrame) -> DataFrame:
-    """Rows h1, h2, doc_id: each document's distinct line keys."""
+    """Rows h1, h2, doc_id: each document's distinct line keys, also when several rows have its id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,7 +64,7 @@ def document_lines(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*_halves(keys), pa.array(ids, pa.int64())], ["h1", "h2", "doc_id"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    return own.mapInArrow(tidy(run), "h1 long, h2 long, doc_id long")
+    return own.mapInArrow(tidy(run), "h1 long, h2 long, doc_id long").distinct()
 
 
 def _merged(rows: DataFrame) -> DataFrame:

@@ -211,6 +211,15 @@ def test_line_dedup(spark):
     assert linededup.line_report(table(spark, [])).count() == 0
 
 
+def test_rows_that_repeat_an_id_are_one_document(spark):
+    line, other = "a line of more than twenty letters", "another line of more than twenty letters"
+    docs = [(7, line, "a"), (7, f"{line}\n{other}", "a"), (1, line, "a"), (1, other, "a"), (2, other, "a"), (3, prose(1, 9), "b"), (9, prose(2, 9), "b")]
+    got = linededup.line_report(table(spark, docs)).collect()
+    assert sorted([(r.doc_id, r.n_lines, r.n_dropped, r.kept) for r in got], key=str) == brute_lines(docs)
+    assert sorted(r.doc_id for r in got if r.n_dropped) == [1, 2]
+    assert sorted(r.text for r in linededup.drop_repeated_lines(table(spark, docs)).collect()) == sorted(x[3] for x in brute_lines(docs))
+
+
 def test_runs_are_levelled(spark):
     runs = linededup.Runs(fanout=2)
     for k in (3, 2, 1, 0):
