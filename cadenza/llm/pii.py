@@ -67,14 +67,50 @@ def _fill(shape: str, digits: str) -> str:
 Move = Callable[[str, int, int], int]
 
 
-def _card(m: re.Match, move: Move) -> str | None:
-    digits = re.sub(r"\D", "", m[0])
-    if not 13 <= len(digits) <= 19 or int(digits[-1]) != luhn_digit(digits[:-1]) or len(set(digits)) == 1:
-        return None
+def _is_card(run: str) -> bool:
+    digits = re.sub(r"\D", "", run)
+    return 13 <= len(digits) <= 19 and int(digits[-1]) == luhn_digit(digits[:-1]) and len(set(digits)) > 1
+
+
+def _card(run: str, move: Move) -> str:
+    digits = re.sub(r"\D", "", run)
     # The first digit says the network and stays.
     n = len(digits) - 2
     body = digits[0] + str(move(f"card{digits[0]}{n}", int(digits[1:-1]), 10**n)).zfill(n)
-    return _fill(m[0], body + str(luhn_digit(body)))
+    return _fill(run, body + str(luhn_digit(body)))
+
+
+def _cards(pattern: re.Pattern, text: str, free: Callable[[int, int], bool], move: Move) -> Iterator[tuple[int, int, str]]:
+    """Start, end and pseudonym of each card number.
+
+    From each start the longest run is tried first, then those that end at an earlier separator, then the
+    next start behind a separator. The pseudonym is one with which the runs tried before still are no card
+    numbers (walking on until it is), so the text is read back the same way; only a run tried in vain that
+    reaches over two card numbers can prevent that.
+    """
+    at, failed = 0, []
+    while m := pattern.search(text, at):
+        start, found = m.start(), None
+        for end in (m.end(), *(k for k in range(m.end() - 1, start + 12, -1) if text[k] in " -")):
+            if not free(start, end):
+                continue
+            if _is_card(text[start:end]):
+                found = end
+                break
+            failed.append((start, end))
+        if found is None:
+            gap = re.compile("[ -]").search(text, start, m.end())
+            at = gap.end() if gap else m.end()
+            continue
+        failed = [(a, b) for a, b in failed if b > start]
+        lo, hi = min([start, *(a for a, _ in failed)]), max([found, *(b for _, b in failed)])
+        new, read = text[start:found], False
+        while not read:
+            new = _card(new, move)
+            around = text[lo:start] + new + text[found:hi]
+            read = _is_card(new) and not any(_is_card(around[a - lo : b - lo]) for a, b in failed)
+        yield start, found, new
+        at, failed = found, []
 
 
 def _iban_check(country: str, rest: str) -> int:
@@ -197,7 +233,7 @@ _RULES: tuple[tuple[str, str, Callable], ...] = (
     ("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)", _ip),
     ("date", r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}([./-])\d{2}\1\d{4})(?![\d]|[./-]\d)", _date),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d]|-\d)", _ssn),
-    ("card", r"(?<![\d])\d(?:[ -]?\d){12,18}(?![\d])", _card),
+    ("card", r"(?<![\d])\d(?:[ -]?\d){12,18}(?![\d])", _cards),
     ("phone", r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?\(?\d{2,4}\)?[ .-]\d{3,4}[ .-]?\d{3,4}(?![\d])|(?<![\d+])\+\d{8,15}(?![\d])", _phone),
 )
 _COMPILED = [(kind, re.compile(pattern, re.ASCII), make) for kind, pattern, make in _RULES]
@@ -213,11 +249,18 @@ def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, list[t
         return permute(key, tweak, value, size, back)
 
     found: list[tuple[int, int, str, str]] = []
+
+    def free(start: int, end: int) -> bool:
+        return all(end <= a or b <= start for a, b, _, _ in found)
+
     for kind, pattern, make in _COMPILED:
         if kind == "email" and "@" not in text:
             continue
+        if kind == "card":
+            found += [(a, b, kind, new) for a, b, new in make(pattern, text, free, move)]
+            continue
         for m in pattern.finditer(text):
-            if all(m.end() <= a or b <= m.start() for a, b, _, _ in found) and (new := make(m, move)) is not None:
+            if free(m.start(), m.end()) and (new := make(m, move)) is not None:
                 found.append((m.start(), m.end(), kind, new))
     found.sort()
     out, at = [], 0

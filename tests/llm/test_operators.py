@@ -350,6 +350,25 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert [r.text for r in rows if r.doc_id in (1, 2)] == [None, ""]
 
 
+@pytest.mark.parametrize("shape", ["{} 12/26", "{}-7", "{} 123", "12 {}", "{} 123-45-6789", "7 {} 5", "no 41 {} 1"])
+def test_cards_beside_other_digits(shape):
+    rng, tried = random.Random(4), 0
+    for spaced in (False, True):
+        for _ in range(60):
+            body = "4" + "".join(str(rng.randrange(10)) for _ in range(14))
+            card = body + str(pii.luhn_digit(body))
+            card = " ".join(card[k : k + 4] for k in range(0, 16, 4)) if spaced else card
+            text = "pay " + shape.format(card) + " now"
+            a = text.index(card)
+            out, found = pii.pseudonymise(text, b"k")
+            assert any(k == "card" and s < a + len(card) and e > a for k, s, e in found), text
+            assert pii.reveal(out, b"k") == text
+            if ("card", a, a + len(card)) in found:
+                tried += 1
+                assert card not in out
+    assert tried > 60
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 10, 97, 1000])
 def test_permutation(size):
     out = [pii.permute(b"k", "t", x, size) for x in range(size)]
