@@ -14,7 +14,7 @@ from ._io import table
 
 #: The key of the pseudonyms of op4; production passes its own secret.
 PII_KEY = b"cadenza pseudonyms"
-THRESHOLD = 0.3
+THRESHOLD = toxicity.THRESHOLD
 
 
 def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:

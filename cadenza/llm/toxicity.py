@@ -40,6 +40,8 @@ LEAST_TEXTS = 3
 #: What squared slopes start from: keeps rare buckets from leaping.
 DAMP = 1e-2
 SEED = 17
+#: Score from which a text counts as toxic.
+THRESHOLD = 0.3
 
 
 def in_fold(doc_id: str, parts: int, part: int) -> Column:

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from cadenza.llm import decontam, linededup, mixing, neardup, toxicity
 from cadenza.llm._io import keep, table
 
-#: Toxicity from which a document goes.
-TOXIC = 0.4
+#: Toxicity from which a document goes: that from which op10_toxicity predicts it toxic.
+TOXIC = toxicity.THRESHOLD
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
