@@ -1,7 +1,6 @@
 """The pipeline and the queries over a small folder of tables."""
 
 import pytest
-from pyspark.sql import functions as F
 from test_operators import brute_classes, brute_contamination, brute_lines, brute_lm, classified, near_corpus, prose, water_fill
 
 import corpus_pipeline
@@ -35,3 +34,41 @@ def test_pipeline_rejects_what_op10_predicts_toxic(spark, folder):
     kept = {r.doc_id for r in corpus_pipeline.toxicity_stage(spark, docs, folder).collect()}
     assert toxic and not kept & toxic and kept | toxic == {i for i, _, _ in rows(spark, folder)}
     assert corpus_pipeline.TOXIC == queries.THRESHOLD
+
+
+def test_run_against_a_brute_chain(spark, folder):
+    score = {r.doc_id: r.score for r in queries.op10_toxicity(spark, folder).collect()}
+    docs = [d for d in rows(spark, folder) if score[d[0]] < 0.3]
+    kept = {i: text for i, _, _, text in brute_lines(docs)}
+    lined = [(i, kept[i], s) for i, _, s in docs]
+    assert {20000, 20001, 20002, 20003} <= {a[0] for a, b in zip(docs, lined, strict=True) if a != b}
+    near = brute_classes(lined)
+    alone = [d for d in lined if near[d[0]][1] == d[0]]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    hit = {i for i, _, n, _ in brute_contamination(alone, items) if n}
+    clean = [d for d in alone if d[0] not in hit]
+    assert len(docs) > len(alone) > len(clean) and {30000, 30001, 30002} <= hit
+    got = queries.queries()["pipeline"](spark, folder).collect()
+    assert sorted((r.doc_id, r.source, r["size"]) for r in got) == sorted((i, s, len(t.split())) for i, t, s in clean)
+    total = {}
+    for _, t, s in clean:
+        total[s] = total.get(s, 0) + len(t.split())
+    goal = water_fill(total, (3, 1, 2))
+    for s, want in goal.items():
+        own = [r for r in got if r.source == s]
+        assert all(r.source_size == total[s] and r.target == pytest.approx(want) and r.taken == r.copies * r["size"] for r in own)
+        assert abs(sum(r.taken for r in own) - want) <= max(r["size"] for r in own)
+
+
+def test_queries_without_oracle(spark, folder):
+    docs = rows(spark, folder)
+    made = {n: {r.doc_id: r for r in f(spark, folder).collect()} for n, f in queries.queries().items() if n[:4] in ("op2_", "op4_", "op7_")}
+    assert all(len(x) == len(docs) for x in made.values())
+    for i, n, total in brute_lm(docs):
+        r = made["op7_lm_scores"][i]
+        assert r.n_words == n and r.log10_sum == pytest.approx(total) and r.score == pytest.approx(total / n)
+    for i, text, _ in docs:
+        out, found = pii.pseudonymise(text, queries.PII_KEY)
+        r = made["op4_pii"][i]
+        assert (r.text, r.n_found) == (out, len(found))
+        assert made["op2_mixing"][i]["size"] == len(text.split())
