@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one set here where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. In local mode, where all run on one machine, one is made if it is unset."""
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[[^,]*\])?$", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="cadenza-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir() or folder
@@ -38,13 +40,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def fresh(df: DataFrame, columns: Sequence[str]) -> list[Column]:
-    """The named columns of `df`, safe for names with dots."""
-    return [F.col(f"`{c}`") for c in columns]
-
-
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of links (a, b): rows (node, label), label the smallest node reachable.
+    """Connected components of links (a, b) of any type with an order: rows (node, label), label the smallest node reachable.
 
     Alternates the large-star and small-star steps, each a minimum by node joined
     back to the links, until the links no longer change. All of it is distributed; the driver

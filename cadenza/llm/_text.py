@@ -27,21 +27,39 @@ ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 NONSPACE = np.ones(256, bool)
 NONSPACE[[32, *range(9, 14)]] = False
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_UNBASE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: Two primes below 2**31, a base for each, and the bases' inverses: a word's hash is its polynomial at both.
+_FIELDS = tuple((p, b, pow(b, -1, p)) for p, b in ((2147483647, 1160901737), (2147483629, 1822705413)))
+_powers: list[tuple[np.ndarray, np.ndarray]] = []
+_short: list[np.ndarray] = []
+
+
+def _geometric(base: int, prime: int, n: int) -> np.ndarray:
+    """base ** 0, base ** 1, ... modulo the prime."""
+    out, have = np.ones(n, np.uint64), 1
+    while have < n:
+        more = min(have, n - have)
+        out[have : have + more] = out[:more] * np.uint64(pow(base, have, prime)) % np.uint64(prime)
+        have += more
+    return out
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash base and of its inverse, modulo 2**64."""
-    have = _powers.get(0)
-    if have is None or len(have[0]) < n:
+def powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each field the first n powers of the base and of its inverse."""
+    if not _powers or len(_powers[0][0]) < n:
         n = max(n, STEP_BYTES + 1)
-        up, down = np.full(n, _BASE), np.full(n, _UNBASE)
+        _powers[:] = [(_geometric(b, p, n), _geometric(i, p, n)) for p, b, i in _FIELDS]
+    return _powers
+
+
+def short_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of a factor and of its inverse modulo 2**64: enough for pieces of a few bytes."""
+    if not _short or len(_short[0]) < n:
+        up, down = np.full(max(n, STEP_BYTES + 1), _FACTOR), np.full(max(n, STEP_BYTES + 1), np.uint64(pow(int(_FACTOR), -1, 1 << 64)))
         up[0] = down[0] = 1
-        have = _powers[0] = np.cumprod(up), np.cumprod(down)
-    return have
+        _short[:] = np.cumprod(up), np.cumprod(down)
+    return _short[0], _short[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -137,11 +155,16 @@ def words(column: pa.Array, kind: np.ndarray = ALNUM) -> Words:
     last = inside.copy()
     last[:-1] &= ~inside[1:] | first[1:]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = powers(len(data) + 1)
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    hashed = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * _STEP)
+    hashed = (end - start).astype(np.uint64) * _STEP
+    for (prime, _, _), (up, down), shift in zip(_FIELDS, powers(len(data) + 1), (0, 31), strict=True):
+        p = np.uint64(prime)
+        terms = (data.astype(np.uint64) + np.uint64(1)) * up[: len(data)]
+        if len(data) > STEP_BYTES:  # else the sums stay below 2**60
+            terms %= p
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(terms, out=sums[1:])
+        hashed += (sums[end] - sums[start]) % p * down[start] % p << np.uint64(shift)
+    hashed = mix(hashed)
     return Words(data, start, end, np.searchsorted(start, at).astype(np.int64), hashed)
 
 
@@ -152,7 +175,7 @@ def ngrams(w: np.ndarray, n: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         for j in range(min(n, len(w))):
             total[: len(w) - j] += w[j:] * factor
-            factor = factor * _BASE
+            factor = factor * _FACTOR
     return mix(total + np.uint64(n))
 
 

@@ -3,237 +3,200 @@
 Each benchmark item is cut into windows of `WINDOW` consecutive words (a shorter item is one
 window). A document contains a window only if it has all of the window's shingles, so with
 containment 1 the prefix that must be shared has one shingle. Shingles are ordered by how often they occur in
-all documents, and the join probes with the rarest one of each window. The shingle's place
+all documents, and the join's key is the rarest one of each window. The shingle's place
 in the window fixes where the window would lie; candidates that stick out of the document
-(length and positional bounds) go, and the rest are verified word by word.
+(length and positional bounds) go, and the rest are verified: the words themselves are compared.
 
-The benchmark is the query set. It is cut into blocks of at most `BLOCK_BYTES` of text; each
-block's tables are a bounded closure, and the documents pass all blocks in one narrow
-stage, without any shuffle of texts.
+All tables of the benchmark (windows, shingles, prefix) are DataFrames. The documents are read twice: once
+to count the benchmark's shingles, once for the places that have a prefix shingle, each with the words around it. What a
+task gets is a bit map of shingles, at most `FILTER_BITS` bits whatever the benchmark's size; a
+place that passes it by chance finds no partner in the join. So texts are never shuffled. A side of a join
+is broadcast only if it was measured to be under `SMALL_BYTES`; else the join is salted, so a passage that very many documents hold is split.
 
 Defined cases: a null or empty text has no words and is clean; a null or empty item has no
 windows; repeated documents each get a row; repeated items count once per item_id; null item_ids are
-left out. Columns beyond doc_id and text don't matter.
+left out; an empty table of documents gives no rows, an empty benchmark no hits. Columns beyond doc_id and text don't matter.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._io import keep
 from ._text import Words, ngrams, slices, strings, tidy, words
 
 WINDOW = 10
 SHINGLE = 3
-#: Bytes of benchmark text whose tables go to the tasks at once.
-BLOCK_BYTES = 8 << 20
-_FILTER_BITS = 20
-
-
-@dataclass
-class Windows:
-    """Distinct windows of one block of the benchmark."""
-
-    length: np.ndarray
-    hashes: np.ndarray  # a row of word hashes for each window, 0 beyond its length
-    items: list[list[int]]
-    shingles: np.ndarray  # a row of shingle hashes for each window
-    n_shingles: np.ndarray
-
-
-@dataclass
-class Probe:
-    """The prefix tokens: sorted shingle hashes, each with its window and place."""
-
-    windows: Windows
-    width: int
-    token: np.ndarray
-    window: np.ndarray
-    place: np.ndarray
-    filter: np.ndarray
-
-
-def cut_windows(items: list[tuple[int, str]], size: int = WINDOW) -> Windows:
-    found: dict[bytes, tuple[np.ndarray, set[int]]] = {}
-    if items:
-        w = words(strings(pa.array([t for _, t in items], pa.string())))
-        for (item, _), lo, hi in zip(items, w.at[:-1], w.at[1:], strict=True):
-            for at in range(lo, max(lo + 1, hi - size + 1)) if hi > lo else ():
-                row = w.hash[at : min(at + size, hi)]
-                found.setdefault(row.tobytes(), (row, set()))[1].add(item)
-    n = len(found)
-    length = np.array([len(r) for r, _ in found.values()], np.int64)
-    hashes, shingles = np.zeros((n, size), np.uint64), np.zeros((n, size), np.uint64)
-    count = np.zeros(n, np.int64)
-    for i, (row, _) in enumerate(found.values()):
-        width = min(SHINGLE, len(row))
-        hashes[i, : len(row)] = row
-        count[i] = len(row) - width + 1
-        shingles[i, : count[i]] = ngrams(row, width)[: count[i]]
-    return Windows(length, hashes, [sorted(s) for _, s in found.values()], shingles, count)
-
-
-def _widths(win: Windows) -> np.ndarray:
-    return np.minimum(SHINGLE, win.length)
-
-
-def _lookup(sorted_keys: np.ndarray, mask: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in `values` that equal a key, and the key's number."""
-    maybe = np.flatnonzero(mask[values >> np.uint64(64 - _FILTER_BITS)])
-    at = np.searchsorted(sorted_keys, values[maybe])
-    at[at == len(sorted_keys)] = 0
-    hit = sorted_keys[at] == values[maybe]
-    return maybe[hit], at[hit]
-
-
-def _mask(keys: np.ndarray) -> np.ndarray:
-    mask = np.zeros(1 << _FILTER_BITS, bool)
-    mask[keys >> np.uint64(64 - _FILTER_BITS)] = True
-    return mask
-
-
-def shingle_counts(docs: DataFrame, win: Windows, text: str = "text") -> dict[int, int]:
-    """How often each shingle of the block occurs in all documents (counted where they are, then summed)."""
-    widths = _widths(win)
-    tables = []
-    for width in np.unique(widths):
-        keys = np.unique(np.concatenate([win.shingles[i, : win.n_shingles[i]] for i in np.flatnonzero(widths == width)]))
-        tables.append((int(width), keys, _mask(keys)))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = [np.zeros(len(keys), np.int64) for _, keys, _ in tables]
+#: Bits of the map of shingles that goes to the tasks, at most; and bits for each shingle, while there is room.
+FILTER_BITS = 28
+_BITS_EACH = 256
+#: Bytes up to which a measured side of a join is broadcast.
+SMALL_BYTES = 16 << 20
+#: Parts that a key is split into in joins with a larger side.
+SALTS = 16
+
+
+def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """Rows item, win (digest of the words), words, width, tokens (the window's shingles in order)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = strings(batch.column(0))
+            column = strings(batch.column(1))
             for lo, hi in slices(column):
                 w = words(column.slice(lo, hi - lo))
-                for (width, keys, mask), total in zip(tables, sums, strict=True):
-                    _, key = _lookup(keys, mask, ngrams(w.hash, width))
-                    total += np.bincount(key, minlength=len(keys))
-        for (_, keys, _), total in zip(tables, sums, strict=True):
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(total[some])], ["token", "n"])
-
-    if not tables:
-        return {}
-    found = docs.select(F.col(text).cast("string")).mapInArrow(tidy(count), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    return {r.token & 0xFFFFFFFFFFFFFFFF: r.n for r in found.collect()}  # bounded by the block
-
-
-def make_probe(win: Windows, counts: dict[int, int]) -> list[Probe]:
-    """One table of prefix tokens per shingle width: the rarest shingle of each window."""
-    widths, probes = _widths(win), []
-    for width in np.unique(widths):
-        token, window, place = [], [], []
-        for i in np.flatnonzero(widths == width):
-            own = win.shingles[i, : win.n_shingles[i]].tolist()
-            at = min(range(len(own)), key=lambda k: (counts.get(own[k], 0), own[k], k))
-            token.append(own[at])
-            window.append(i)
-            place.append(at)
-        order = np.argsort(np.array(token, np.uint64), kind="stable")
-        keys = np.array(token, np.uint64)[order]
-        probes.append(Probe(win, int(width), keys, np.array(window)[order], np.array(place)[order], _mask(keys)))
-    return probes
-
-
-def find(w: Words, probe: Probe) -> tuple[np.ndarray, np.ndarray]:
-    """Verified occurrences: first word (in the slice) and window."""
-    at, first = _lookup(probe.token, probe.filter, ngrams(w.hash, probe.width))
-    if not len(at):
-        return at, at
-    upto = np.searchsorted(probe.token, probe.token[first], "right")
-    many = upto - np.searchsorted(probe.token, probe.token[first], "left")
-    entry = np.repeat(np.searchsorted(probe.token, probe.token[first], "left"), many)
-    entry += np.arange(len(entry)) - np.repeat(np.cumsum(many) - many, many)
-    at = np.repeat(at, many)
-    window = probe.window[entry]
-    start = at - probe.place[entry]
-    length = probe.windows.length[window]
-    doc = np.searchsorted(w.at, at, "right") - 1
-    fits = (start >= w.at[doc]) & (start + length <= w.at[doc + 1])
-    start, window, length = start[fits], window[fits], length[fits]
-    for j in range(probe.windows.hashes.shape[1]):
-        if not len(start):
-            break
-        same = (j >= length) | (w.hash[np.minimum(start + j, len(w.hash) - 1)] == probe.windows.hashes[window, j])
-        start, window, length = start[same], window[same], length[same]
-    return start, window
-
-
-def _matches(column: pa.Array, blocks: list[list[Probe]]) -> Iterator[tuple[int, int, set[int]]]:
-    """n_words, n_hit and the items found, for each text."""
-    for lo, hi in slices(column):
-        w = words(column.slice(lo, hi - lo))
-        edge = np.zeros(len(w.hash) + 1, np.int64)
-        items: dict[int, set[int]] = defaultdict(set)
-        for probe in (p for block in blocks for p in block):
-            start, window = find(w, probe)
-            np.add.at(edge, start, 1)
-            np.add.at(edge, start + probe.windows.length[window], -1)
-            doc = np.searchsorted(w.at, start, "right") - 1
-            for d, win in set(zip(doc.tolist(), window.tolist(), strict=True)):
-                items[d].update(probe.windows.items[win])
-        hits = np.concatenate([[0], np.cumsum(np.cumsum(edge[:-1]) > 0)])
-        for i in range(hi - lo):
-            a, b = w.at[i], w.at[i + 1]
-            yield int(b - a), int(hits[b] - hits[a]), items.get(i, set())
-
-
-def benchmark_blocks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> list[list[Probe]]:
-    """The prefix tables of the whole benchmark, a block at a time."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = items.where("item_id IS NOT NULL AND text IS NOT NULL")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-int(total) // block_bytes)
-    out = []
-    for k in range(n):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        win = cut_windows([(r.item_id, r.text) for r in part.toLocalIterator()], size)
-        out.append(make_probe(win, shingle_counts(docs, win)))
-    return out
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """Rows doc_id, n_words, n_hit, items (sorted as strings): what of the benchmark each document holds."""
-    blocks = benchmark_blocks(docs, benchmark, size)
+                out: list[list] = [[], [], [], [], []]
+                for i, (a, b) in enumerate(zip(w.at[:-1].tolist(), w.at[1:].tolist(), strict=True)):
+                    own = [w.word(k) for k in range(a, b)]
+                    for at in range(0, max(1, len(own) - size + 1) if own else 0):
+                        part = own[at : at + size]
+                        width = min(SHINGLE, len(part))
+                        found = ngrams(w.hash[a + at : a + at + len(part)], width)[: len(part) - width + 1]
+                        row = (batch.column(0)[lo + i].as_py(), hashlib.blake2b(b" ".join(part), digest_size=16).digest(), part, width, found.view(np.int64))
+                        for column_, x in zip(out, row, strict=True):
+                            column_.append(x)
+                kinds = (pa.string(), pa.binary(), pa.list_(pa.binary()), pa.int32(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["item", "win", "words", "width", "tokens"])
+
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
+    items = items.where("item IS NOT NULL AND text IS NOT NULL")
+    return items.mapInArrow(tidy(run), "item string, win binary, words array<binary>, width int, tokens array<long>")
+
+
+class TokenFilter:
+    """A bit map of tokens and the widths they have; `places` finds tokens that may be among them."""
+
+    def __init__(self, tokens: DataFrame, bits: int = FILTER_BITS):
+        """`tokens` has token and width; the map is put together in the cluster, 64 bits a row."""
+        seen = tokens.agg(F.count(F.lit(1)), F.collect_set("width")).first()
+        self.widths = sorted(seen[1])
+        self.bits = min(bits, max(16, (int(seen[0]) * _BITS_EACH).bit_length()))
+        rest = 64 - self.bits
+        slot = F.shiftrightunsigned("token", rest)
+        rows = tokens.groupBy(F.shiftrightunsigned(slot, 6).alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(token, {rest}) & 63 as int)))").alias("word"))
+        got = rows.toArrow()  # 2 ** (bits - 6) rows at most
+        self.map = np.zeros(1 << (self.bits - 6), np.uint64)
+        self.map[got["at"].to_numpy()] = got["word"].to_numpy().view(np.uint64)
+
+    def places(self, w: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each width: width, the places of tokens that pass, and the tokens there."""
+        for width in self.widths:
+            tokens = ngrams(w.hash, width)
+            slot = tokens >> np.uint64(64 - self.bits)
+            at = np.flatnonzero(self.map[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1))
+            doc = np.searchsorted(w.at, at, "right") - 1
+            at = at[at + width <= w.at[doc + 1]]
+            yield width, at, tokens[at]
+
+
+def token_counts(docs: DataFrame, tokens: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """Rows token, n: how often tokens occur in all documents; also some that are not asked for."""
+    among = TokenFilter(tokens, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(_matches(strings(batch.column(1)), blocks))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([r[0] for r in rows], pa.int64()),
-                    pa.array([r[1] for r in rows], pa.int64()),
-                    pa.array([sorted(map(str, r[2])) for r in rows], pa.list_(pa.string())),
-                ],
-                ["doc_id", "n_words", "n_hit", "items"],
-            )
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        tidy(run), "doc_id long, n_words long, n_hit long, items array<string>"
-    )
+            column, found = strings(batch.column(0)), [np.zeros(0, np.uint64)]
+            for lo, hi in slices(column):
+                found += [t for _, _, t in among.places(words(column.slice(lo, hi - lo)))]
+            token, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], ["token", "n"])
 
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(tidy(run), "token long, n long")
+    return rows.groupBy("token").agg(F.sum("n").alias("n"))
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """The documents, with all their columns, in which no window of the benchmark occurs."""
-    blocks = benchmark_blocks(docs, benchmark, size)
-    at = docs.columns.index("text")
+
+def prefixes(docs: DataFrame, cut: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """Rows token, place, win, words, width: for each distinct window its rarest shingle."""
+    own = cut.dropDuplicates(["win"]).select("win", "words", "width", "tokens")
+    each = own.select("win", "width", F.posexplode("tokens").alias("place", "token"))
+    n = token_counts(docs, each.select("token", "width").distinct(), bits)
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "place")).alias("least")
+    chosen = each.join(n, "token", "left").groupBy("win").agg(rarest).select("win", "least.token", "least.place")
+    return own.select("win", "words", "width").join(chosen, "win")
+
+
+def _near(docs: DataFrame, prefix: DataFrame, size: int, bits: int) -> DataFrame:
+    """A row for each document (token null), and one for each place that may have a prefix shingle.
+
+    row numbers the document; start is the place, before how many words the context begins before it, words the context; digest is the text's.
+    """
+    among = TokenFilter(prefix.select("token", "width").distinct(), bits)
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.binary()), pa.binary())
+    names = ["row", "doc_id", "n_words", "token", "start", "before", "words", "digest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
         for batch in batches:
-            clean = [not n for _, n, _ in _matches(strings(batch.column(at)), blocks)]
-            yield batch.filter(pa.array(clean, pa.bool_()))
-
-    return docs.mapInArrow(tidy(run), docs.schema)
+            column = strings(batch.column(1))
+            for lo, hi in slices(column):
+                w = words(column.slice(lo, hi - lo))
+                many = np.diff(w.at)
+                empty = [None] * (hi - lo)
+                rows = [[*range(number, number + hi - lo)], batch.column(0).slice(lo, hi - lo).to_pylist(), many.tolist(), *[[*empty] for _ in range(5)]]
+                digests: dict[int, bytes] = {}
+                for _, at, token in among.places(w):
+                    doc = np.searchsorted(w.at, at, "right") - 1
+                    low, high = np.maximum(w.at[doc], at - size + 1), np.minimum(w.at[doc + 1], at + size)
+                    for d, k, t, a, b in zip(doc.tolist(), at.tolist(), token.view(np.int64).tolist(), low.tolist(), high.tolist(), strict=True):
+                        if d not in digests:
+                            digests[d] = hashlib.md5(column[lo + d].as_buffer()).digest()
+                        row = (number + d, None, None, t, k - int(w.at[d]), k - a, [w.word(j) for j in range(a, b)], digests[d])
+                        for column_, x in zip(rows, row, strict=True):
+                            column_.append(x)
+                number += hi - lo
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], names)
+
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return keep(own.mapInArrow(tidy(run), "row long, doc_id long, n_words long, token long, start long, before int, words array<binary>, digest binary"), "places")
+
+
+def _joined(many: DataFrame, few: DataFrame, key: str, weight: str, small: int) -> DataFrame:
+    """Inner join by `key`; `weight` is SQL for the bytes of a row of `few`, whose sum decides how."""
+    size = few.agg(F.sum(F.expr(weight))).first()[0] or 0
+    if size <= small:
+        return many.join(F.broadcast(few), key)  # measured
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    dealt = many.withColumn("_salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    return dealt.join(few.withColumn("_salt", salt), [key, "_salt"]).drop("_salt")
+
+
+def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, bits: int = FILTER_BITS, small: int = SMALL_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows row, doc_id, n_words of all documents; rows row, digest, start, stop, win of all occurrences; rows win, item."""
+    cut = keep(windows(benchmark, size), "windows")
+    prefix = keep(prefixes(docs, cut, bits), "prefix")
+    near = _near(docs, prefix, size, bits)
+    places = near.where("token IS NOT NULL").select("row", "digest", "token", "start", "before", F.col("words").alias("around"))
+    met = _joined(places, prefix.select("token", "place", "win", "words"), "token", "40 + 24 * size(words)", small)
+    inside = F.expr("place <= before AND before - place + size(words) <= size(around) AND slice(around, greatest(before - place, 0) + 1, size(words)) = words")
+    found = met.where(inside).select("row", "digest", (F.col("start") - F.col("place")).alias("start"), (F.col("start") - F.col("place") + F.size("words")).alias("stop"), "win")
+    return near.where("token IS NULL").select("row", "doc_id", "n_words"), keep(found, "occurrences"), cut.select("win", "item").distinct()
+
+
+#: The number of words inside any of the sorted spans.
+_COVERED = (
+    "aggregate(sort_array(collect_set(struct(start, stop))), named_struct('upto', 0L, 'n', 0L),"
+    " (s, x) -> named_struct('upto', greatest(s.upto, x.stop), 'n', s.n + greatest(x.stop - greatest(x.start, s.upto), 0L)), s -> s.n)"
+)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, bits: int = FILTER_BITS, small: int = SMALL_BYTES) -> DataFrame:
+    """Rows doc_id, n_words, n_hit, items (sorted as strings): what of the benchmark each document holds."""
+    every, found, named = occurrences(docs, benchmark, size, bits, small)
+    hit = found.groupBy("row").agg(F.expr(_COVERED).alias("n_hit"))
+    items = _joined(found.select("row", "win").distinct(), named, "win", "40 + octet_length(item)", small)
+    items = items.groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    out = every.join(hit.join(items, "row"), "row", "left")
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """The documents, with all their columns, in which no window of the benchmark occurs."""
+    gone = occurrences(docs, benchmark, size)[1].select(F.hex("digest").alias("_digest")).distinct()
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    return docs.join(gone, F.upper(F.md5(text.cast("binary"))) == F.col("_digest"), "left_anti")

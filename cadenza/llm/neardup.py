@@ -6,18 +6,22 @@ are made, each half key of `ROWS` minhashes; table (i, j) is keyed by U_i with V
 table with probability (1 - (1 - s ** ROWS) ** HALVES) ** 2: 0.9988 at 0.75 itself, above 0.9999 from 0.8 on.
 
 Candidates, without pairs of a whole bucket:
-1. Equal sets are one class, named by its smallest id; only class representatives go on.
-2. Each table key with several representatives is a star around the smallest: linear in rows.
-   Star pairs are verified on full sets, and verified links joined into components.
-3. A key whose members are then in one component has nothing left to tell. For the others the
-   members meet by half key U_i, once for each pair of different components (the first U_i they share), and
-   need a common V_j and lengths that allow the similarity. The join's own condition verifies the full
+1. Equal sets are one class, named by a 128-bit digest of the set; only classes go on.
+2. Each table key with several classes is a star around the one with the smallest id: linear in rows.
+   Star pairs are verified on full sets, and verified links joined into components. The pairs of a centre are dealt
+   over as many parts as it has `CENTRE` pairs, so a large group of near copies is not one task's work.
+3. A key whose members are then in one component has nothing left to tell. Members of the others
+   meet by that same table key, once for each pair of different components (in the first table they share), if
+   their lengths allow the similarity. The join's own condition verifies the full
    sets, so it only gives out links. Nothing is capped; large joins are split by AQE.
 Components are found by the distributed large-star/small-star rounds of `_io.components`.
 
+Words and shingles stand as 64-bit hashes (of words: two polynomials modulo primes, so no word is made to equal another by how
+it is built), equal sets as 128-bit digests.
+
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing; a text of fewer
-than five words is one shingle; equal rows that repeat a doc_id share a component; of different texts under one doc_id each has its own row, but links are verified on one of them; a null doc_id is linked with nothing
-and kept. Other columns don't matter.
+than five words is one shingle; rows that repeat a doc_id are rows of their own: each is linked by its own text, equal ones share a
+component; a null doc_id is linked with nothing and kept; an empty table gives no rows. Other columns don't matter.
 """
 
 from __future__ import annotations
@@ -36,6 +40,8 @@ from ._text import NONSPACE, mix, shingle_sets, slices, strings, tidy, words
 SHINGLE = 5
 PERCENT = 75
 ROWS, HALVES = 2, 9
+#: Pairs of a star that one part of its centre verifies.
+CENTRE = 256
 _N = 2 * ROWS * HALVES
 _ODD = mix(np.arange(1, _N + 1, dtype=np.uint64)) | np.uint64(1)
 _XOR = mix(np.arange(1001, _N + 1001, dtype=np.uint64))
@@ -56,6 +62,10 @@ def _sets(column: pa.Array) -> Iterator[list[np.ndarray]]:
         yield shingle_sets(words(column.slice(lo, hi - lo), NONSPACE), SHINGLE)
 
 
+def _digest(set_: np.ndarray) -> bytes:
+    return hashlib.blake2b(set_.tobytes(), digest_size=16).digest()
+
+
 def signatures(docs: DataFrame) -> DataFrame:
     """Rows doc_id, n (set size), digest of the set, u and v (half keys; empty for an empty set)."""
 
@@ -68,7 +78,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 for s in sets:
                     own = next(keys) if len(s) else np.zeros(0, np.int64)
                     n.append(len(s))
-                    digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                    digest.append(_digest(s))
                     u.append(own[:HALVES])
                     v.append(own[HALVES:])
             lists = pa.list_(pa.int64())
@@ -82,14 +92,16 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """Rows id, set: the sorted shingle hashes. `docs` has id and text."""
+    """Rows digest, set: the sorted shingle hashes of each text that has any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [s.view(np.int64) for sets in _sets(strings(batch.column(1))) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], ["id", "set"])
+            rows = [s for sets in _sets(strings(batch.column(0))) for s in sets if len(s)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([_digest(s) for s in rows], pa.binary()), pa.array([s.view(np.int64) for s in rows], pa.list_(pa.int64()))], ["digest", "set"]
+            )
 
-    return docs.select("id", "text").mapInArrow(tidy(run), "id long, set array<long>")
+    return docs.select(F.col("text").cast("string")).mapInArrow(tidy(run), "digest binary, set array<long>")
 
 
 def _similar(a: str, b: str) -> str:
@@ -101,11 +113,14 @@ def _lengths(a: str, b: str) -> str:
     return f"least({a}, {b}) * 100L >= {PERCENT}L * greatest({a}, {b})"
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs a, b the ones whose full sets are similar."""
-    left = sets.select(F.col("id").alias("a"), F.col("set").alias("set_a"))
-    right = sets.select(F.col("id").alias("b"), F.col("set").alias("set_b"))
-    return pairs.join(left, "a").join(right, "b").where(F.expr(_similar("set_a", "set_b"))).select("a", "b")
+def _verified(star: DataFrame, sets: DataFrame, centre: int = CENTRE) -> DataFrame:
+    """Of pairs a (a centre), b the ones whose full sets are similar."""
+    parts = keep(star.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / centre).cast("int").alias("parts")), "centres")
+    left = sets.select(F.col("digest").alias("a"), F.col("set").alias("set_a")).join(parts, "a")
+    left = left.select("a", "set_a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    right = sets.select(F.col("digest").alias("b"), F.col("set").alias("set_b"))
+    dealt = star.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    return dealt.join(right, "b").join(left, ["a", "part"]).where(F.expr(_similar("set_a", "set_b"))).select("a", "b")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -113,52 +128,51 @@ def classes(docs: DataFrame) -> DataFrame:
     sig = keep(signatures(docs), "signatures")
     named = sig.where("n > 0 AND doc_id IS NOT NULL")
     # Written, so that the joins with it deal both sides afresh and a class of very many copies can be split.
-    heads = keep(named.groupBy("digest", "n").agg(F.min("doc_id").alias("rep")), "heads")
-    first = named.withColumnRenamed("digest", "_digest").withColumnRenamed("n", "_n")
-    reps = keep(
-        first.join(heads, (F.col("_digest") == F.col("digest")) & (F.col("_n") == F.col("n")) & (F.col("doc_id") == F.col("rep")))
-        .groupBy("rep", "n", "digest")
-        .agg(F.any_value("u").alias("u"), F.any_value("v").alias("v")),
-        "representatives",
-    )
-    tables = reps.select("rep", "n", F.posexplode("u").alias("i", "x"), "v")
-    tables = tables.select("rep", "n", "i", "x", F.posexplode("v").alias("j", "y"))
-    rows = tables.select("rep", "n", F.xxhash64("i", "x", "j", "y").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("tail")).where("head <> tail")
+    heads = keep(named.groupBy("digest", "n").agg(F.min("doc_id").alias("rep"), F.any_value("u").alias("u"), F.any_value("v").alias("v")), "classes")
+    tables = heads.select("digest", "rep", "n", F.posexplode("u").alias("i", "x"), "v")
+    tables = tables.select("digest", "rep", "n", "i", "x", F.posexplode("v").alias("j", "y"))
+    rows = tables.select("digest", "rep", "n", "i", "j", F.xxhash64("i", "x", "j", "y").alias("key"))
+    shared = rows.groupBy("key").agg(F.min(F.struct("rep", "digest", "n")).alias("head"), F.count(F.lit(1)).alias("many")).where("many > 1")
     live = keep(rows.join(shared.select("key", "head"), "key"), "live")
-    ids = live.select("rep").distinct()
-    chosen = reps.select("rep", F.col("digest").alias("_d")).join(ids, "rep").withColumnRenamed("rep", "_rep")
+    ids = live.select(F.col("digest").alias("_own")).distinct()
+    chosen = live.select(F.col("rep").alias("_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    of_reps = texts.join(chosen.select("_rep").distinct(), F.col("id") == F.col("_rep")).select("id", "text")
-    sets = keep(full_sets(of_reps).groupBy("id").agg(F.max("set").alias("set")), "sets")
-    size = reps.select(F.col("rep").alias("head"), F.col("n").alias("n_head"))
-    star = live.where("rep <> head").select("rep", "n", "head").distinct().join(size, "head").where(F.expr(_lengths("n", "n_head")))
-    links = keep(_verified(star.select(F.col("head").alias("a"), F.col("rep").alias("b")), sets), "star-links")
+    of_live = full_sets(texts.join(chosen, F.col("id") == F.col("_id"), "left_semi"))
+    sets = keep(of_live.groupBy("digest").agg(F.any_value("set").alias("set")).join(ids, F.col("digest") == F.col("_own"), "left_semi"), "sets")
+    star = live.where("digest <> head.digest AND " + _lengths("n", "head.n")).select(F.col("head.digest").alias("a"), F.col("digest").alias("b")).distinct()
+    links = keep(_verified(keep(star, "stars"), sets), "star-links")
     label = keep(components(links), "components")
-    # Keys with members in several components: those members meet again by half key.
-    named_live = live.select("key", "rep").join(label, F.col("rep") == F.col("node"), "left")
-    named_live = named_live.select("key", "rep", F.coalesce("label", "rep").alias("comp"))
+    # Keys with members in several components: those members meet again, table by table.
+    named_live = live.select("key", "i", "j", "digest", "n").join(label, F.col("digest") == F.col("node"), "left")
+    named_live = named_live.select("key", "i", "j", "digest", "n", F.coalesce("label", "digest").alias("comp"))
     mixed = named_live.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    some = keep(named_live.join(mixed.select("key"), "key").select("rep", "comp").distinct(), "open")
-    wide = some.join(reps.select("rep", "n", "u", "v"), "rep").join(sets.withColumnRenamed("id", "rep"), "rep")
-    half = wide.select("rep", "comp", "n", "u", "v", "set", F.posexplode("u").alias("i", "x"))
-    a, b = half.alias("a"), half.alias("b")
-    once = "filter(sequence(0, size(a.u) - 1), k -> a.u[k] = b.u[k])[0] = a.i"
+    some = keep(named_live.join(mixed.select("key"), "key"), "open")
+    wide = some.join(heads.select("digest", "u", "v"), "digest").join(sets, "digest")
+    a, b = wide.alias("a"), wide.alias("b")
+
+    def first(side: str) -> str:
+        return f"array_position(zip_with(a.{side}, b.{side}, (p, q) -> p = q), true) - 1"
+
     met = (
-        "a.x = b.x AND a.i = b.i AND a.rep < b.rep AND a.comp <> b.comp AND " + _lengths("a.n", "b.n")
-        + f" AND {once} AND exists(sequence(0, size(a.v) - 1), k -> a.v[k] = b.v[k]) AND " + _similar("a.set", "b.set")
+        "a.key = b.key AND a.digest < b.digest AND a.comp <> b.comp AND a.i = b.i AND a.j = b.j AND " + _lengths("a.n", "b.n")
+        + f" AND {first('u')} = a.i AND {first('v')} = a.j AND " + _similar("a.set", "b.set")
     )
-    more = keep(a.join(b, F.expr(met)).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")), "more-links")
+    more = keep(a.join(b, F.expr(met)).select(F.col("a.digest").alias("a"), F.col("b.digest").alias("b")), "more-links")
     if not more.isEmpty():
         label = keep(components(links.union(more)), "components")
-    of_class = heads.join(label, F.col("rep") == F.col("node"), "left")
-    of_class = of_class.select(F.col("digest").alias("_digest"), F.col("n").alias("_n"), F.coalesce("label", "rep").alias("component"))
-    out = sig.select("doc_id", "n", "digest").join(of_class, (F.col("digest") == F.col("_digest")) & (F.col("n") == F.col("_n")), "left")
+    least = heads.join(label, F.col("digest") == F.col("node")).groupBy("label").agg(F.min("rep").alias("component"))
+    of_class = heads.join(label.join(least, "label").select("node", "component"), F.col("digest") == F.col("node"), "left")
+    of_class = keep(of_class.select(F.col("digest").alias("_digest"), F.coalesce("component", "rep").alias("component")), "labels")
+    out = sig.select("doc_id", "n", "digest").join(of_class, F.col("digest") == F.col("_digest"), "left")
     linked = F.col("doc_id").isNotNull() & (F.col("n") > 0)
     return out.select("doc_id", "n", F.when(linked, F.col("component")).otherwise(F.col("doc_id")).alias("component"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents, with all their columns, of each component only the one with the smallest id."""
-    gone = classes(docs).where("doc_id <> component").select(F.col("doc_id").alias("_near_id")).distinct()
+    """The documents, with all their columns, of each component only the one with the smallest id.
+
+    Of rows that repeat a doc_id all stay if one does.
+    """
+    found = classes(docs).groupBy("doc_id").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    gone = found.where("doc_id <> most").select(F.col("doc_id").alias("_near_id"))
     return docs.join(gone, docs["doc_id"] == F.col("_near_id"), "left_anti")

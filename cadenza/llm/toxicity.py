@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._text import Words, mix, powers, release, slices, strings, tidy, words
+from ._text import Words, mix, release, short_powers, slices, strings, tidy, words
 
 #: Labelled rows that training takes at most.
 SAMPLE = 5000
@@ -51,7 +51,7 @@ def in_fold(doc_id: str, parts: int, part: int) -> Column:
 
 def subwords(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of each word's n-grams and of the word itself, and the word of each."""
-    up, down = powers(len(w.data) + 1)
+    up, down = short_powers(len(w.data) + 1)
     sums = np.zeros(len(w.data) + 1, np.uint64)
     np.cumsum((w.data.astype(np.uint64) + np.uint64(1)) * up[: len(w.data)], out=sums[1:])
     buckets, owner = [w.hash % np.uint64(BUCKETS)], [np.arange(len(w.hash))]
