@@ -14,6 +14,7 @@ validation stay; repeated rows each get the same pseudonyms; a format of a singl
 from __future__ import annotations
 
 import datetime
+import functools
 import hashlib
 import re
 from collections.abc import Callable, Iterator
@@ -99,6 +100,7 @@ def _cards(pattern: re.Pattern, text: str, free: Callable[[int, int], bool], mov
                 break
             failed.append((start, end))
         if found is None:
+            failed = [(a, b) for a, b in failed if b > start]
             gap = re.compile("[ -]").search(text, start, m.end())
             at = gap.end() if gap else m.end()
             continue
@@ -203,9 +205,8 @@ def _date(m: re.Match, move: Move) -> str | None:
             return None
         if swapped:
             # Only dates after the 12th read this way; they are permuted among themselves.
-            rank = [(y_, mo_) for y_ in range(1900, 2100) for mo_ in range(1, 13)]
-            days = [x for y_, mo_ in rank for x in _late_days(y_, mo_)]
-            new = datetime.date.fromordinal(days[move("date-us", days.index(at), len(days))])
+            days, nth = _late_days()
+            new = datetime.date.fromordinal(days[move("date-us", nth[at], len(days))])
             return f"{new.month:0{len(a)}d}{sep}{new.day:02d}{sep}{new.year}"
         new = datetime.date.fromordinal(_FIRST + move("date", at - _FIRST, _LAST - _FIRST + 1))
         if year_first:
@@ -214,21 +215,37 @@ def _date(m: re.Match, move: Move) -> str | None:
     return None
 
 
-def _late_days(year: int, month: int) -> range:
-    last = (datetime.date(year + month // 12, month % 12 + 1, 1) - datetime.timedelta(1)).day
-    first = datetime.date(year, month, 1).toordinal()
-    return range(first + 12, first + last)
+@functools.cache
+def _late_days() -> tuple[list[int], dict[int, int]]:
+    """All days after the 12th of a month, and the number of each."""
+    days = [d for d in range(_FIRST, _LAST + 1) if datetime.date.fromordinal(d).day > 12]
+    return days, {d: n for n, d in enumerate(days)}
 
 
-def _email(m: re.Match, move: Move) -> str | None:
-    local, domain = m[0].split("@")
-    at, size = _mixed(local)
-    new = _of_mixed(local, move("email" + _shape(local) + "@" + domain.lower(), at, size))
-    return f"{new}@{domain}"
+_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+
+
+def _emails(_: re.Pattern, text: str, free: Callable[[int, int], bool], move: Move) -> Iterator[tuple[int, int, str]]:
+    """Start, end and pseudonym of each address: from each @ to both sides, so that a long text without any costs nothing."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > done and text[start - 1] in _LOCAL:
+            start -= 1
+        while start < at and not text[start].isalnum():  # begins with a letter or digit
+            start += 1
+        domain = _DOMAIN.match(text, at) if start < at else None
+        if domain:
+            local, done = text[start:at], domain.end()
+            if free(start, done):
+                n, size = _mixed(local)
+                yield start, done, _of_mixed(local, move("email" + _shape(local) + domain[0].lower(), n, size)) + domain[0]
+        at = text.find("@", max(done, at + 1))
 
 
 _RULES: tuple[tuple[str, str, Callable], ...] = (
-    ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", _email),
+    ("email", "@", _emails),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", _iban),
     ("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)", _ip),
     ("date", r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}([./-])\d{2}\1\d{4})(?![\d]|[./-]\d)", _date),
@@ -249,19 +266,19 @@ def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, list[t
         return permute(key, tweak, value, size, back)
 
     found: list[tuple[int, int, str, str]] = []
+    taken = bytearray(len(text))  # 1 where a value was found
 
     def free(start: int, end: int) -> bool:
-        return all(end <= a or b <= start for a, b, _, _ in found)
+        return taken.find(1, start, end) < 0
 
     for kind, pattern, make in _COMPILED:
-        if kind == "email" and "@" not in text:
-            continue
-        if kind == "card":
-            found += [(a, b, kind, new) for a, b, new in make(pattern, text, free, move)]
-            continue
-        for m in pattern.finditer(text):
-            if free(m.start(), m.end()) and (new := make(m, move)) is not None:
-                found.append((m.start(), m.end(), kind, new))
+        if kind in ("email", "card"):
+            more = list(make(pattern, text, free, move))
+        else:
+            more = [(m.start(), m.end(), new) for m in pattern.finditer(text) if free(m.start(), m.end()) and (new := make(m, move)) is not None]
+        for a, b, new in more:
+            found.append((a, b, kind, new))
+            taken[a:b] = b"\1" * (b - a)
     found.sort()
     out, at = [], 0
     for a, b, _, new in found:
