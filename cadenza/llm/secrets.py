@@ -1,12 +1,14 @@
 """Secret scans over a trigram inverted index, in DataFrame operations only.
 
 Each rule's regular expression gives a Boolean trigram query (`trigrams`). The index has a posting (trigram, doc_id) for
-each trigram that some query asks for. A query's alternatives are intersections of postings: the documents that have as many of an alternative's
+each distinct trigram of a text that some query asks for: the text is read once, its trigrams taken from left to right. A
+query's alternatives are intersections of postings: the documents that have as many of an alternative's
 trigrams as it lists. Those are the rule's candidates; only they are scanned with it. Rules
 without mandatory trigrams scan all documents. Texts are shuffled once, to meet their candidate rules.
 
 Spans come from splitting the text at the rule's matches: the pieces between and the matches themselves give the
-offsets, in code points. Matches that fail the rule's length are dropped.
+offsets, in code points. Sums of lengths are taken by blocks of `BLOCK` matches, so a text with very many matches
+costs little more than its length. Matches that fail the rule's length are dropped.
 
 Defined cases: a null text is empty; an empty one has no spans; rows that repeat a doc_id each get their own spans; a null
 doc_id is a document as any other. Other columns are never read.
@@ -14,6 +16,7 @@ doc_id is a document as any other. Other columns are never read.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -42,21 +45,39 @@ BASE = (
 EXTRA = (
     Rule("github", r"gh[opsur]_[A-Za-z0-9]{30,}", 34),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}", 15),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 27),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 27),
     Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 20),
 )
 
 
+#: Matches whose lengths are summed together.
+BLOCK = 128
+
+
 def queries(rules: tuple[Rule, ...]) -> dict[str, list[list[str]]]:
     """Each rule's trigram query, by kind."""
     return {r.kind: trigram_query(r.pattern) for r in rules}
 
 
+def _any_of(grams: list[str]) -> str:
+    """A pattern that captures, at each place where one begins, the trigram that is there."""
+
+    def plain(text: str) -> str:
+        return re.sub(r"([^A-Za-z0-9_ ])", r"\\\1", text)
+
+    heads: dict[str, dict[str, list[str]]] = {}
+    for x, y, z in sorted(grams):
+        heads.setdefault(x, {}).setdefault(y, []).append(z)
+    branches = []
+    for x, rest in heads.items():
+        ends = [plain(y) + (plain(z[0]) if len(z) == 1 else "[" + "".join(map(plain, z)) + "]") for y, z in rest.items()]
+        branches.append(plain(x) + (ends[0] if len(ends) == 1 else "(?:" + "|".join(ends) + ")"))
+    return "(?=(" + "|".join(branches) + "))"
+
+
 def postings(docs: DataFrame, grams: list[str]) -> DataFrame:
     """Rows gram, doc_id: which documents have which of these trigrams (folded to lower case)."""
-    folded = F.lower("text")
-    # One pass of a cheap test per trigram; the array holds only those found.
-    found = F.array_compact(F.array(*[F.when(F.contains(folded, F.lit(g)), F.lit(g)) for g in grams]))
+    found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_any_of(grams)), F.lit(1)))
     return docs.select("doc_id", F.explode(found).alias("gram"))
 
 
@@ -81,19 +102,29 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return met.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.split_part("want", F.lit("/"), F.lit(1))).alias("kinds"))
 
 
-def spans(text: str, rule: Rule) -> Column:
-    """The rule's spans in the column `text`: an array of structs start, stop, kind, rank-free."""
-    p = "'" + rule.pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    whole = f"regexp_extract_all({text}, {p}, 0)"
-    part = f"regexp_extract_all({text}, {p}, {rule.group})"
-    between = f"split({text}, {p}, -1)"
-    steps = f"zip_with(transform({between}, x -> length(x)), transform({whole}, x -> length(x)), (a, b) -> named_struct('gap', a, 'size', b))"
-    walked = (
-        f"aggregate({steps}, named_struct('at', 0, 'out', cast(array() as array<struct<start:int,stop:int>>)),"
-        f" (s, x) -> named_struct('at', s.at + x.gap + coalesce(x.size, 0),"
-        f" 'out', if(x.size is null, s.out, concat(s.out, array(named_struct('start', s.at + x.gap, 'stop', s.at + x.gap + x.size))))), s -> s.out)"
+def _starts(steps: str) -> str:
+    """SQL: for each struct (gap, size) where its match starts. Sums within blocks go on from the sums of the blocks before."""
+    of_block = "aggregate(b, 0, (n, x) -> n + x.gap + coalesce(x.size, 0))"
+    before = "transform(sequence(0, size(sums) - 1), k -> aggregate(slice(sums, 1, k), 0, (n, x) -> n + x))"
+    inside = (
+        "aggregate(b, named_struct('at', start, 'out', cast(array() as array<int>)),"
+        " (s, x) -> named_struct('at', s.at + x.gap + coalesce(x.size, 0), 'out', array_append(s.out, s.at + x.gap)), s -> s.out)"
+    )
+    return (
+        f"transform(array({steps}), all -> transform(array(transform(sequence(0, (size(all) - 1) div {BLOCK}), k -> slice(all, k * {BLOCK} + 1, {BLOCK}))),"
+        f" blocks -> transform(array(transform(blocks, b -> {of_block})), sums -> flatten(zip_with(blocks, {before}, (b, start) -> {inside})))[0])[0])[0]"
     )
-    kept = f"filter(zip_with({walked}, {part}, (s, g) -> named_struct('start', s.start, 'stop', s.stop, 'ok', length(g) >= {rule.least})), x -> x.ok)"
+
+
+def spans(text: str, rule: Rule) -> Column:
+    """The rule's spans in the column `text`: an array of structs start, stop, kind."""
+    p = "'" + _long(rule).replace("\\", "\\\\").replace("'", "\\'") + "'"
+    whole = f"transform(regexp_extract_all({text}, {p}, 0), x -> length(x))"
+    part = f"transform(regexp_extract_all({text}, {p}, {rule.group}), x -> length(x) >= {rule.least})"
+    between = f"transform(split({text}, {p}, -1), x -> length(x))"
+    steps = f"zip_with({between}, {whole}, (a, b) -> named_struct('gap', a, 'size', b))"
+    placed = f"transform(array({whole}), w -> zip_with(slice({_starts(steps)}, 1, size(w)), w, (a, n) -> named_struct('start', a, 'stop', a + n)))[0]"
+    kept = f"filter(zip_with({placed}, {part}, (s, ok) -> named_struct('start', s.start, 'stop', s.stop, 'ok', ok)), x -> x.ok)"
     return F.expr(f"transform({kept}, x -> named_struct('start', x.start, 'stop', x.stop, 'kind', '{rule.kind}'))")
 
 
@@ -106,17 +137,23 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA) -> DataFrame:
     everywhere = {k for k, q in queries(rules).items() if q == [[]]}
     out = []
     for r in rules:
-        # A full scan first asks, without taking the text apart, whether anything long enough is there.
+        # A full scan first asks, without taking the text apart, whether there is a match.
         due = F.col("text").rlike(_long(r)) if r.kind in everywhere else F.array_contains("kinds", r.kind)
         out.append(F.coalesce(F.when(due, spans("text", r)), none).alias(r.kind))
     return seen.select("doc_id", *out)
 
 
 def _long(rule: Rule) -> str:
-    """A test that any text with a span of the rule passes."""
-    if rule.group == 0 and rule.pattern.endswith("+") and rule.pattern.startswith("[") and rule.pattern.count("[") == 1:
-        return rule.pattern[:-1] + "{" + str(rule.least) + "}"
-    return rule.pattern
+    """A pattern with the rule's spans that passes over most that are too short.
+
+    Where the rule is letters and then any number from a set that has those letters, only a whole run of the set can be long enough from a
+    place inside it; so the length goes into the pattern. From a set alone a match begins where a run begins.
+    """
+    plain = re.fullmatch(r"([A-Za-z0-9]*)(\[[A-Za-z0-9-]+\])\+", rule.pattern)
+    if not plain or rule.group or not re.fullmatch(plain[2] + "*", plain[1]):
+        return rule.pattern
+    start = "" if plain[1] else f"(?<!{plain[2]})"
+    return start + plain[1] + plain[2] + "{" + str(rule.least - len(plain[1])) + ",}"
 
 
 def listed(kinds: list[str]) -> Column:
