@@ -1,7 +1,8 @@
 """LM scoring: stupid backoff over count tables that are partitioned by hash.
 
-Counts cover all documents and all words. The table of pairs is partitioned by the hash of the pair and keeps pairs that occur
-at least `LEAST` times; that of words by the hash of the word. A pair in it scores count(pair) / count(first word), any other backs off to `BACKOFF` *
+Counts cover all documents, all words and all pairs, whatever their number. The table of pairs is partitioned by the hash of the pair,
+that of words by the hash of the word. The documents scored are in the counts, so a document is no evidence for itself: a pair that occurs
+elsewhere too (count(pair) above the document's own) scores count(pair) / count(first word), any other backs off to `BACKOFF` *
 count(second word) / tokens. Each document's pairs, exploded and counted, go to the pairs' partitions and are joined to the
 counts there; the word whose count a pair asks for goes on to the words' partitions and is joined there; both are summed by
 document. A document's score is the mean log10 over its words (its first word counts as a back-off from nothing: count / tokens).
@@ -32,7 +33,6 @@ from ._io import keep
 from ._text import ALNUM, Words, mix, slices, strings, tidy, words
 
 VOCABULARY = 1 << 20
-LEAST = 2
 BACKOFF = 0.4
 #: Words with at least this share of all tokens (1 / COMMON) are common.
 COMMON = 1024
@@ -136,14 +136,14 @@ def _pair_keys(w: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 class Scorer:
-    """Scores of pairs of frequent words whose counts are known."""
+    """Scores of pairs of frequent words whose counts are known; `own` is how often the pair occurs in the document."""
 
     def __init__(self, known: Vocabulary):
         self.count, self.tokens = known.count, known.tokens
 
-    def __call__(self, pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    def __call__(self, pairs: np.ndarray, counts: np.ndarray, own: np.ndarray) -> np.ndarray:
         first, second = self.count[pairs >> 21], self.count[pairs & ((1 << 21) - 1)]
-        return np.log10(np.where(counts >= LEAST, counts / first, BACKOFF * second / self.tokens))
+        return np.log10(np.where(counts > own, counts / first, BACKOFF * second / self.tokens))
 
 
 class CommonPairs:
@@ -204,8 +204,8 @@ def _packs(docs: DataFrame, known: Vocabulary, common: CommonPairs, parts: int,
             begins_doc.append(full[rare] + a)
             place, keys, text = _pair_keys(w, at)
             hot = common.hot[keys >> 21] & common.hot[keys & ((1 << 21) - 1)]
-            n = common.n[np.searchsorted(common.pair, keys[hot])]
-            done[a:b] += np.bincount(text[hot], score(keys[hot], n), b - a)
+            (often,), own_doc, n = _counted((keys[hot],), text[hot])
+            done[a:b] += np.bincount(own_doc, score(often, common.n[np.searchsorted(common.pair, often)], n) * n, b - a)
             rare = (at[place] == 0) | (at[place + 1] == 0)
             pair.append(keys[~hot & ~rare])
             doc.append(text[~hot & ~rare] + a)
@@ -259,7 +259,8 @@ def _join_pairs(known: Vocabulary, parts: int, word_parts: int) -> Callable[[pa.
             n.append(np.frombuffer(r["n"], np.uint32))
         pair, at = np.unique(np.concatenate(keys), return_inverse=True)
         weight = np.concatenate(n).astype(np.float64)
-        value = scorer(pair, np.bincount(at, weight, len(pair)))[at] * weight
+        count = np.bincount(at, weight, len(pair))[at]
+        value = scorer(pair[at], count, weight) * weight
         cuts = np.split(value, np.cumsum([len(d) for d in docs])[:-1])
         return [_summed(part, r["pack"], d, v) for r, d, v in zip(rows, docs, cuts, strict=True)]
 
@@ -270,7 +271,7 @@ def _join_pairs(known: Vocabulary, parts: int, word_parts: int) -> Callable[[pa.
         weight = np.concatenate([np.frombuffer(r["n"], np.uint32) for r in rows]).astype(np.int64)
         pair, at = np.unique(_pair_hash(first, second), return_inverse=True)
         count = np.bincount(at, weight, len(pair))[at]
-        seen = count >= LEAST
+        seen = count > weight
         # What a pair scores besides the count of one of its words.
         value = np.log10(np.where(seen, count, BACKOFF / known.tokens))
         word, sign = np.where(seen, first, second), np.where(seen, -1, 1)

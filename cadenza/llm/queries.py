@@ -68,7 +68,8 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return lm.score_documents(table(spark, folder, "documents"))
+    scored = lm.score_documents(table(spark, folder, "documents"))
+    return scored.select("doc_id", "n_words", F.round("log10_sum", 3).alias("log10_sum"), F.round("score", 6).alias("score"))
 
 
 def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
@@ -134,6 +135,21 @@ from marked group by doc_id
 """
 
 
+OP7_SQL = f"""
+with doc as (select doc_id, regexp_extract_all({_ASCII_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from documents),
+token as (select doc_id, i, w[i] as word, w[i + 1] as after from doc, unnest(range(1, len(w) + 1)) as t(i)),
+one as (select word, count(*) as c from token group by word),
+total as (select count(*) as tokens from token),
+own as (select doc_id, word, after, count(*) as n from token where after is not null group by doc_id, word, after),
+two as (select word, after, sum(n) as c from own group by word, after),
+part as (select doc_id, n * log10(case when two.c > n then two.c / x.c else 0.4 * y.c / tokens end) as s
+         from own join two using (word, after) join one x on x.word = own.word join one y on y.word = own.after, total
+         union all select doc_id, log10(c / tokens) from token join one using (word), total where i = 1),
+score as (select doc_id, sum(s) as s from part group by doc_id)
+select doc_id, len(w)::bigint as n_words, round(s, 3) as log10_sum, round(s / len(w), 6) as score from doc left join score using (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_decontamination, op2_mixing, op3_near_dedup, op4_pii, op5_line_dedup,
@@ -143,4 +159,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op3_near_dedup": OP3_SQL, "op5_line_dedup": OP5_SQL}
+    return {"op1_decontamination": OP1_SQL, "op3_near_dedup": OP3_SQL, "op5_line_dedup": OP5_SQL, "op7_lm_scores": OP7_SQL}

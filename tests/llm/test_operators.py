@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from math import log10
@@ -313,6 +314,28 @@ def test_secret_rules(spark):
     assert secrets.scan(table(spark, [])).count() == 0
 
 
+def test_secrets_in_long_texts(spark):
+    rng = random.Random(2)
+    texts = [
+        " ".join("%x" % rng.getrandbits(rng.choice([8, 16, 160])) for _ in range(20_000)), " ".join(f"password=abcdefgh{k}" for k in range(3000)),
+        "eyJ" * 60_000, "AKIA" * 40_000, "ghp_" * 30_000, "secret" + " " * 100_000 + "x", "token=a:" * 20_000, "é" * 300 + "token: abcdefgh " * 300,
+    ]
+    rules = secrets.BASE + secrets.EXTRA
+    rows = secrets.scan(table(spark, [(k, t, "a") for k, t in enumerate(texts)])).collect()
+    for r in rows:
+        for rule in rules:
+            own = [(m.start(), m.end()) for m in re.finditer(rule.pattern, texts[r.doc_id]) if len(m[rule.group]) >= rule.least] if r.doc_id != 2 or rule.kind != "jwt" else []
+            assert [(x.start, x.stop) for x in r[rule.kind]] == own, (r.doc_id, rule.kind)
+
+
+def test_postings_are_all_trigrams_that_are_asked_for(spark):
+    grams = sorted({g for q in secrets.queries(secrets.BASE + secrets.EXTRA).values() for alternative in q for g in alternative})
+    rng = random.Random(6)
+    docs = [(k, "".join(rng.choice([*grams, "-", "y", "K", "é", "\n", "\\"]) for _ in range(40)), "a") for k in range(40)]
+    got = {(r.doc_id, r.gram) for r in secrets.postings(table(spark, docs), grams).collect()}
+    assert got == {(i, g) for i, t, _ in docs for g in grams if g in t.lower()}
+
+
 def test_trigram_queries():
     assert trigram_query("[0-9a-f]+") == [[]]
     assert trigram_query("AKIA[A-Z0-9]+") == [["aki", "kia"]]
@@ -328,13 +351,14 @@ def brute_lm(docs):
     n, out = sum(one.values()), []
     for i, ws in texts:
         total = log10(one[ws[0]] / n) if ws else None
+        own = Counter(zip(ws, ws[1:], strict=False))
         for a, b in zip(ws, ws[1:], strict=False):
-            total += log10(two[a, b] / one[a] if two[a, b] >= 2 else 0.4 * one[b] / n)
+            total += log10(two[a, b] / one[a] if two[a, b] > own[a, b] else 0.4 * one[b] / n)
         out.append((i, len(ws), total))
     return sorted(out, key=str)
 
 
-def test_lm_scores(spark, monkeypatch):
+def test_lm_scores(spark):
     docs = [*ODD, *[(10 + k, prose(k, 80, 300), "a") for k in range(40)], (10, prose(0, 80, 300), "a")]
     got = sorted([(r.doc_id, r.n_words, r.log10_sum) for r in lm.score_documents(table(spark, docs)).collect()], key=str)
     want = brute_lm(docs)
@@ -434,6 +458,29 @@ def test_cards_beside_other_digits(shape):
     assert tried > 60
 
 
+LONG = [
+    "a" * 200_000, "a@" * 60_000, "a@" + "b." * 60_000, " ".join(f"u{k}@ex{k}.org" for k in range(4000)), " ".join("12/31/%d" % (1950 + k % 100) for k in range(2000)),
+    "1 " * 10_000, "12" * 60_000, "1" + "(" * 60_000 + " 2", "+1 " * 40_000, "AB12 " + "ABCD " * 20_000,
+]
+
+
+@pytest.mark.parametrize("text", LONG, ids=[t[:6] for t in LONG])
+def test_pseudonyms_in_long_texts(text):
+    began = time.process_time()
+    out, _ = pii.pseudonymise(text, b"k")
+    assert time.process_time() - began < 8
+    assert pii.reveal(out, b"k") == text
+
+
+def test_emails_are_those_of_the_regular_expression():
+    pattern = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", re.ASCII)
+    rng = random.Random(8)
+    for _ in range(3000):
+        text = "".join(rng.choice(["a", "B", "7", ".", "@", "-", "+", " ", "x.org", "é", "@ex.com"]) for _ in range(rng.randrange(1, 24)))
+        got = [(a, b) for k, a, b in pii.pseudonymise(text, b"k")[1] if k == "email"]
+        assert got == [m.span() for m in pattern.finditer(text)], text
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 10, 97, 1000])
 def test_permutation(size):
     out = [pii.permute(b"k", "t", x, size) for x in range(size)]
