@@ -16,7 +16,7 @@ comes before all others; one single row is its own next. Other columns are never
 
 from __future__ import annotations
 
-import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +29,7 @@ from ._text import NONSPACE, Words, mix, ngrams, slices, strings, tidy, words
 
 SAMPLES = 96
 POOL = 1 << 12
-#: Rows that lie in one range of ids, on average.
+#: Rows that lie in one range of ids, on average, at least; with more than their square there are as many ranges as rows in each.
 RANGE_ROWS = 4000
 _rng = np.random.default_rng(20)
 _R = _rng.gamma(2, 1, (POOL, SAMPLES)).astype(np.float32) + np.float32(1e-6)
@@ -91,7 +91,7 @@ def ordered(docs: DataFrame) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ids = own.select("doc_id")
     rows = ids.count()
-    n = max(1, min(10000, rows // RANGE_ROWS))
+    n = max(1, rows // max(RANGE_ROWS, math.isqrt(rows)))
     cuts = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)).first()[0] if n > 1 else []
     edges = np.array(sorted(set(cuts or [])), np.int64)
 
@@ -108,14 +108,8 @@ def ordered(docs: DataFrame) -> DataFrame:
     after = sorted(starts)
     before = {starts[p]: after[i - 1] for i, p in enumerate(after)}
     named = own.select("doc_id", "text", part("doc_id").alias("part"))
-    ghost = F.when(F.lit(False), F.lit(0))
-    for k, p in before.items():
-        ghost = ghost.when(F.col("doc_id").isNull() if k is None else F.col("doc_id") == k, F.lit(p)) if len(before) <= 64 else ghost
-    if len(before) > 64:
-        known = docs.sparkSession.createDataFrame([(k, p) for k, p in before.items()], "k long, g int")
-        seen = named.join(F.broadcast(known), F.col("doc_id").eqNullSafe(F.col("k")), "left").drop("k")  # one row for each range
-    else:
-        seen = named.withColumn("g", ghost.cast("int"))
+    known = docs.sparkSession.createDataFrame([*before.items()], "k long, g int")
+    seen = named.join(F.broadcast(known), F.col("doc_id").eqNullSafe(F.col("k")), "left").drop("k")  # one row for each range
     places = F.array(F.struct(F.col("part"), F.lit(False).alias("ghost")), F.struct(F.col("g").alias("part"), F.lit(True).alias("ghost")))
     spread = seen.select("doc_id", "text", F.explode(F.when(F.col("g").isNotNull(), places).otherwise(F.slice(places, 1, 1))).alias("at"))
     dealt = spread.select("doc_id", "text", "at.part", "at.ghost").repartition("part")
@@ -162,7 +156,3 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 )
 
     return ordered(docs).mapInArrow(tidy(run), SCHEMA)
-
-
-def digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
