@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import math
 import re
 
 from ..errors import CadenzaError
@@ -62,6 +63,24 @@ def earlier_sql(time: str, parts: list[tuple[int, str]], sign: str = "-") -> str
     return time
 
 
+def widened(day: datetime.date, parts: list[tuple[int, str]], sign: int) -> datetime.date:
+    """A day at or beyond `day` moved by the parts (amount, unit or granularity); month ends and times of day are allowed for."""
+    days, months = 2, 0
+    for n, unit in parts:
+        name = {"WEEK_SUNDAY": "WEEK", "QUARTER": "MONTH"}.get(unit.upper(), unit.upper())
+        n = n * 3 if unit.upper() == "QUARTER" else n
+        if name in ("YEAR", "MONTH"):
+            months += n * (12 if name == "YEAR" else 1)
+        else:
+            days += n * 7 if name == "WEEK" else n if name == "DAY" else math.ceil(n * _FIXED[name.lower()] / 86400)
+    if months:
+        days += 3 + abs(months) // 1200
+        at = day.year * 12 + day.month - 1 + sign * months
+        day = datetime.date(at // 12, at % 12 + 1, min(day.day, 28))
+        days += 3
+    return day + datetime.timedelta(sign * days)
+
+
 def period_start(day: datetime.date, granularity: str) -> datetime.date:
     if granularity == "week":
         return day - datetime.timedelta(day.weekday())

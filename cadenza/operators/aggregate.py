@@ -89,7 +89,8 @@ def agg_column(rel: Relation, path: Path, name: str, agg: str, args: tuple, kwar
         raise CadenzaError(f"{agg} of {name} needs a time column")
     pick = "min_by" if agg == "first" else "max_by"
     rows = [f"({time}) IS NOT NULL", *([f"({condition})"] if condition else [])]
-    return F.expr(f"{pick}({value}, {time}) FILTER (WHERE {' AND '.join(rows)})")
+    # Of several at the same time the least (first) or greatest (last), so that reruns agree.
+    return F.expr(f"{pick}({value}, struct({time}, {value})) FILTER (WHERE {' AND '.join(rows)})")
 
 
 def _type(rel: Relation, sql: str) -> str:

@@ -30,4 +30,6 @@ def trailing(rows: DataFrame, spine: DataFrame, keys: list[str], bucket: str, gr
     inside = spread.where(F.expr(f"_at < {end} AND _at >= {earlier_sql(end, parts)}"))
     total = inside.groupBy(*keys).agg(F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"))
     value = F.expr("_sum") if agg == "sum" else F.expr("try_divide(CAST(_sum AS DOUBLE), CAST(_n AS DOUBLE))")
-    return spine.join(total, keys, "left").select(*keys, value.alias(out))
+    total = total.select(*[F.col(k).alias(f"_{k}") for k in keys], "_sum", "_n")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return spine.join(total, same, "left").select(*keys, value.alias(out))

@@ -20,11 +20,11 @@ from .. import dsl
 from ..dsl import Agg, Call, In, Is, Like, Lit, Op, Ref
 from ..errors import CadenzaError, JoinPathError, NotAllowed, UnknownName
 from ..functions import scalars
-from ..functions.calendar import aligned, bucket_sql, moved_sql, period_end, period_start
+from ..functions.calendar import aligned, bucket_sql, duration, moved_sql, period_end, period_start, widened
 from ..operators.aggregate import agg_column, grouped
 from ..operators.relation import Path, Relation, sql_names
 from ..operators.trailing import trailing
-from ..operators.windows import RANKS, rank_transform, streak, streak_parts, window_transform
+from ..operators.windows import RANKS, ranked, streak, streak_parts, window_transform
 from ..semantics import SQL_TYPES, Measure, Model, Query
 
 _WORD = re.compile(r"\W+")
@@ -350,7 +350,7 @@ class Planner:
         ids = {a: self.new("m") for a in seen}
         rel = self._relation(shift)
         keys = [(k.id, self._key_sql(rel, k)) for k in self.keys]
-        conditions = self.filtered(rel, self.where, self._ranges())
+        conditions = self.filtered(rel, self.where, self._ranges()) + self._moved_reach(rel, shift)
         columns = [(ids[a], self._agg(rel, a)) for a in local]
         df = rel.frame()
         for c in conditions:
@@ -362,6 +362,21 @@ class Planner:
             base = self._join_apart(base, a, ids[a], shift)
         return Grid(base, self.keys, ids)
 
+    def _reach(self, rel: Relation, key: Key, back: list[tuple[int, str]], on: list[tuple[int, str]]) -> list[Column]:
+        """Bounds on the bare time column that all rows meet which a range, widened by these durations, can need.
+
+        They cut nothing off: the exact condition stands beside them. Unlike it, they reach the scan.
+        """
+        if not key.date_range:
+            return []
+        try:
+            low, high = (datetime.date.fromisoformat(str(d)[:10]) for d in key.date_range)
+            low, high = widened(low, back, -1), widened(high, on, 1)
+        except (ValueError, OverflowError):
+            return []
+        bare = Relation(self.engine, rel.root).column_sql(key.path, key.name)
+        return [F.expr(f"{bare} >= '{low}'"), F.expr(f"{bare} <= '{high}'")]
+
     def new(self, prefix: str) -> str:
         self.counter += 1
         return f"{prefix}{self.counter}"
@@ -372,6 +387,14 @@ class Planner:
         key, n, unit = shift
         return Relation(self.engine, self.model, (key.path, key.name), lambda sql: moved_sql(sql, n, unit))
 
+    def _moved_reach(self, rel: Relation, shift: tuple[Key, int, str] | None) -> list[Column]:
+        """The range of a shifted time column in terms of the column itself."""
+        if not shift:
+            return []
+        key, n, unit = shift
+        moved = [(abs(n), unit)]
+        return self._reach(rel, key, moved if n > 0 else [(-abs(n), unit)], moved if n < 0 else [(-abs(n), unit)])
+
     def _ranges(self) -> list:
         return [(k.path, k.name, k.date_range) for k in self.times if k.date_range]
 
@@ -414,7 +437,7 @@ class Planner:
         # A filter that reaches another model is this aggregate's WHERE; its joins are no one else's.
         rel = self._relation(shift)
         keys = [(k.id, self._key_sql(rel, k)) for k in self.keys]
-        conditions = self.filtered(rel, self.where, self._ranges())
+        conditions = self.filtered(rel, self.where, self._ranges()) + self._moved_reach(rel, shift)
         conditions.append(F.expr(rel.expand((), self.model.column(name).filter)))
         column = self._agg(rel, a, as_filter=True)
         df = rel.frame()
@@ -426,7 +449,7 @@ class Planner:
         if not ids:
             return base.crossJoin(part.select(out))  # one row
         named = part.select(*[F.col(i).alias(f"_{i}") for i in ids], out)
-        on = [F.col(i) == F.col(f"_{i}") for i in ids]
+        on = [F.col(i).eqNullSafe(F.col(f"_{i}")) for i in ids]  # a group without a value is a group too
         return base.join(named, on, "left").drop(*[f"_{i}" for i in ids])
 
     def _trailing(self, base: DataFrame, a: Agg, out: str, shift) -> DataFrame:
@@ -440,6 +463,9 @@ class Planner:
         # Filters on the rows hold; the range of the window's own time dimension doesn't, as the window reaches back before it.
         ranges = [r for r in self._ranges() if (r[0], r[1]) != (key.path, key.name)]
         conditions = self.filtered(rel, self.where, ranges)
+        window, one = duration(dict(a.kwargs)["window"]), [(1, key.granularity)]
+        moved = [(shift[1], shift[2])] if shift else []
+        conditions += self._reach(rel, key, [*moved, *window, *one], [*((-n, u) for n, u in moved), *one])
         self._agg(rel, Agg(a.path, a.name))  # the rules hold here too
         column = rel.model_at(path).column(name)
         value = rel.column_sql(path, name)
@@ -540,7 +566,9 @@ class Planner:
                     raise CadenzaError(f"partition_by={p}: no dimension of the query")
                 parts.append(key.id)
             value = self._hide(grid, self.evaluate(grid, node.args[0]))
-            return self._hide(grid, rank_transform(name, F.col(value), parts, kwargs.get("n", extra[0] if extra else None)))
+            out = self.new("h")
+            grid.df = ranked(grid.df, name, value, parts, [k.id for k in self.keys], kwargs.get("n", extra[0] if extra else None), out)
+            return out
         key = self.time_key(name)
         if name in ("change", "change_pct"):
             off = kwargs.get("periods", extra[0] if extra else -1)
@@ -583,7 +611,8 @@ class Planner:
             column = self.evaluate(moved, inner)
             other = moved.df.select(*[F.col(k.id).alias(f"_{k.id}") for k in self.keys], column.alias("_value"))
         name = self.new("h")
-        on = [F.col(k.id) == F.col(f"_{k.id}") for k in self.keys]
+        # A group without a value is a group too; a row without a time has no other period.
+        on = [F.col(k.id) == F.col(f"_{k.id}") if k is key else F.col(k.id).eqNullSafe(F.col(f"_{k.id}")) for k in self.keys]
         grid.df = grid.df.join(other.withColumnRenamed("_value", name), on, "left").drop(*[f"_{k.id}" for k in self.keys])
         return name
 

@@ -140,7 +140,6 @@ _add("statistics_other", "SELECT o_orderpriority orders__priority, round(stddev_
      {"source_model": "orders", "dimensions": ["priority"], "measures": [{"formula": "round(price:stddev_pop, 4)", "name": "sp"}, {"formula": "round(price:var_samp, 2)", "name": "vs"}, {"formula": "round(price:covar_pop(other=o_custkey), 4)", "name": "cp"}, "price:min", "status:max", "big:sum"]})
 _add("counts", "SELECT count(*) orders___count, count(o_orderstatus) orders__status_count, count(DISTINCT o_custkey) orders__customers FROM orders",
      {"source_model": "orders", "measures": ["*:count", "status:count", {"formula": "o_custkey:countd", "name": "customers"}]})
-_add("count_distinct_approx", None, {"source_model": "orders", "measures": ["o_custkey:count_distinct_approx"], "dimensions": ["status"]})
 _add("corr_of_constant", "SELECT o_orderkey orders__o_orderkey, NULL::double orders__c, NULL::double orders__s, 0.0::double orders__p FROM orders WHERE o_orderkey < 500",
      {"source_model": "orders", "dimensions": ["o_orderkey"], "filters": ["o_orderkey < 500"], "measures": [{"formula": "price:corr(other=o_custkey)", "name": "c"}, {"formula": "price:stddev_samp", "name": "s"}, {"formula": "price:var_pop", "name": "p"}]})
 _add("custom_aggregation", "SELECT o_orderstatus orders__status, sum((o_totalprice > 100000)::int) orders__price_above, sum((o_totalprice > 250000)::int) orders__price_above_limit_250000 FROM orders GROUP BY 1",
@@ -282,9 +281,6 @@ _add("facade_sql", "SELECT o_orderstatus AS status, date_trunc('year', o_orderda
      lambda s, d: facade.run(engine(s, d), "SELECT status, date_trunc('year', ordered_at) AS y, SUM(price) AS total, COUNT(DISTINCT o_custkey) AS custs FROM orders o WHERE o.priority IN ('1-URGENT', '2-HIGH') GROUP BY status, y HAVING COUNT(*) > 3 ORDER BY total DESC"))
 _add("facade_time_bounds", "SELECT date_trunc('month', o_orderdate)::timestamp AS m, count(*) AS n FROM orders WHERE o_orderdate BETWEEN '1995-01-01' AND '1995-06-30' GROUP BY 1", None,
      lambda s, d: facade.run(engine(s, d), "SELECT date_trunc('month', ordered_at) AS m, row_count AS n FROM orders WHERE ordered_at >= '1995-01-01' AND ordered_at <= '1995-06-30' GROUP BY m"))
-_add("catalog_metrics", None, None, lambda s, d: facade.metrics(engine(s, d)))
-_add("catalog_dimensions", None, None, lambda s, d: facade.dimensions(engine(s, d)))
-_add("information_schema", None, None, lambda s, d: facade.information_schema(engine(s, d))["columns"])
 
 
 def _ingested(spark: SparkSession, folder: str) -> DataFrame:
@@ -298,7 +294,6 @@ _add("column_profile", "SELECT 'status' AS \"column\", 'TEXT' AS type, count(DIS
      lambda s, d: engine(s, d).profile("orders", ["status", "o_custkey"]).select("column", "type", "n_distinct", "low", "high", F.array_join("values", ",").alias("top")))
 
 # Retrieval
-_add("bm25_text", None, None, lambda s, d: search.text_search(s.read.parquet(f"{d}/documents.parquet"), "thinking heat and stations", "doc_id").select("id", F.round("score", 9).alias("score")))
 _add("embedding_cosine", "WITH q AS (SELECT embedding e FROM embeddings WHERE vec_id = 0) SELECT vec_id id, round(list_cosine_similarity(embedding::double[], e::double[]), 6) score FROM embeddings, q ORDER BY list_cosine_similarity(embedding::double[], e::double[]) DESC, vec_id LIMIT 20", None,
      lambda s, d: search.cosine(s.read.parquet(f"{d}/embeddings.parquet"), s.read.parquet(f"{d}/embeddings.parquet").where("vec_id = 0").first().embedding, 20).select("id", F.round("score", 6).alias("score")))
 _TAGS = "SELECT event_id, list_distinct([event_type, 'u' || (user_id % 7)::varchar]) t FROM events"

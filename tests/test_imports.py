@@ -6,147 +6,141 @@ import yaml
 from cadenza.engine import Engine
 from cadenza.sources import dbt, osi
 
+#: A lending library: loans of some days, and readers.
 DBT = yaml.safe_load("""
 semantic_models:
-  - name: orders
-    model: ref('shop', 'fct_orders')
-    defaults: {agg_time_dimension: created_at}
+  - name: loans
+    model: ref('library', 'fct_loans')
+    defaults: {agg_time_dimension: lent_on}
     entities:
-      - {name: order, type: primary, expr: id}
-      - {name: customer, type: foreign, expr: customer_id}
+      - {name: loan, type: primary, expr: id}
+      - {name: reader, type: foreign, expr: reader_id}
     dimensions:
-      - {name: status, type: categorical}
-      - {name: created_at, type: time, type_params: {time_granularity: day}}
+      - {name: shelf, type: categorical}
+      - {name: lent_on, type: time, type_params: {time_granularity: day}}
     measures:
-      - {name: revenue, agg: sum, expr: amount, label: Revenue}
-      - {name: mean_amount, agg: average, expr: amount}
-      - {name: doubled, agg: sum, expr: amount * 2}
-      - {name: n_orders, agg: count, expr: 1}
-      - {name: amount_90, agg: percentile, expr: amount, agg_params: {percentile: 0.9}}
-      - {name: n_big, agg: sum_boolean, expr: amount > 80}
-      - {name: balance, agg: sum, expr: amount, non_additive_dimension: {name: created_at}}
-      - {name: lag, agg: sum, expr: amount}
-  - name: customers
-    model: ref('dim_customers')
-    entities: [{name: customer, type: primary, expr: id}]
-    dimensions: [{name: region, type: categorical}]
-    measures: [{name: score, agg: max, expr: points}]
+      - {name: days_out, agg: sum, expr: days, label: Days out}
+      - {name: usual, agg: average, expr: days}
+      - {name: hours, agg: sum, expr: days * 24}
+      - {name: n_loans, agg: count, expr: 1}
+      - {name: long_day, agg: percentile, expr: days, agg_params: {percentile: 0.75}}
+      - {name: n_long, agg: sum_boolean, expr: days > 20}
+      - {name: on_loan, agg: sum, expr: days, non_additive_dimension: {name: lent_on}}
+      - {name: lead, agg: sum, expr: days}
+  - name: readers
+    model: ref('dim_readers')
+    entities: [{name: reader, type: primary, expr: id}]
+    dimensions: [{name: town, type: categorical}]
+    measures: [{name: eldest_age, agg: max, expr: age}]
 metrics:
-  - {name: revenue, type: simple, type_params: {measure: revenue}}
-  - {name: total, type: simple, type_params: {measure: {name: revenue}}}
-  - {name: us_revenue, type: simple, type_params: {measure: revenue}, filter: "{{ Dimension('customer__region') }} = 'US'"}
-  - {name: done, type: simple, type_params: {measure: n_orders}, filter: ["{{ Dimension('order__status') }} = 'completed'", "{{ TimeDimension('metric_time', 'day') }} >= '2025-01-16'"]}
-  - {name: aov, type: ratio, type_params: {numerator: revenue, denominator: n_orders}}
-  - {name: share, type: ratio, type_params: {numerator: us_revenue, denominator: revenue}}
-  - {name: so_far, type: cumulative, type_params: {measure: revenue}}
-  - {name: growth, type: derived, type_params: {expr: revenue - before, metrics: [{name: revenue}, {name: revenue, alias: before, offset_window: 1 months}]}}
-  - {name: both, type: derived, type_params: {expr: revenue + best, metrics: [{name: revenue}, {name: best}]}}
-  - {name: best, type: simple, type_params: {measure: score}}
-  - {name: rolling, type: cumulative, type_params: {measure: revenue, window: 7 days}}
-  - {name: on_rolling, type: derived, type_params: {expr: rolling * 2, metrics: [rolling]}}
-  - {name: moved_ratio, type: derived, type_params: {expr: aov, metrics: [{name: aov, offset_window: 1 month}]}}
-  - {name: funnel, type: conversion, type_params: {}}
-  - {name: circle, type: derived, type_params: {expr: circle + 1, metrics: [circle]}}
+  - {name: days_out, type: simple, type_params: {measure: days_out}}
+  - {name: all_days, type: simple, type_params: {measure: {name: days_out}}}
+  - {name: hill_days, type: simple, type_params: {measure: days_out}, filter: "{{ Dimension('reader__town') }} = 'Hill'"}
+  - {name: late_poems, type: simple, type_params: {measure: n_loans}, filter: ["{{ Dimension('loan__shelf') }} = 'poems'", "{{ TimeDimension('metric_time', 'day') }} >= '2033-02-10'"]}
+  - {name: rate, type: ratio, type_params: {numerator: days_out, denominator: n_loans}}
+  - {name: hill_part, type: ratio, type_params: {numerator: hill_days, denominator: days_out}}
+  - {name: running, type: cumulative, type_params: {measure: days_out}}
+  - {name: gain, type: derived, type_params: {expr: days_out - earlier, metrics: [{name: days_out}, {name: days_out, alias: earlier, offset_window: 1 months}]}}
+  - {name: mix, type: derived, type_params: {expr: days_out + eldest, metrics: [{name: days_out}, {name: eldest}]}}
+  - {name: eldest, type: simple, type_params: {measure: eldest_age}}
+  - {name: fortnight, type: cumulative, type_params: {measure: days_out, window: 14 days}}
+  - {name: of_fortnight, type: derived, type_params: {expr: fortnight + 1, metrics: [fortnight]}}
+  - {name: rate_before, type: derived, type_params: {expr: rate, metrics: [{name: rate, offset_window: 1 month}]}}
+  - {name: joined_up, type: conversion, type_params: {}}
+  - {name: knot, type: derived, type_params: {expr: 2 * knot, metrics: [knot]}}
 """)
 
-OSI = yaml.safe_load("""
-version: "0.2.0.dev0"
-semantic_model:
-  - name: shop
-    datasets:
-      - name: orders
-        source: orders
-        primary_key: [id]
-        fields:
-          - {name: id, expression: {dialects: [{dialect: ANSI_SQL, expression: id}]}}
-          - {name: customer_id, expression: {dialects: [{dialect: ANSI_SQL, expression: customer_id}]}}
-          - {name: amount, expression: {dialects: [{dialect: ANSI_SQL, expression: amount}]}}
-          - {name: shouted, expression: {dialects: [{dialect: SNOWFLAKE, expression: UPPER(status)}]}}
-          - {name: cube, expression: {dialects: [{dialect: MDX, expression: "[x]"}]}}
-          - {name: created_at, expression: {dialects: [{dialect: ANSI_SQL, expression: created_at}]}, dimension: {is_time: true}}
-      - name: customers
-        source: customers
-        primary_key: [id]
-        fields:
-          - {name: id, expression: {dialects: [{dialect: ANSI_SQL, expression: id}]}}
-          - {name: region, expression: {dialects: [{dialect: ANSI_SQL, expression: region}]}}
-          - {name: points, expression: {dialects: [{dialect: ANSI_SQL, expression: points}]}}
-    relationships:
-      - {name: who, from: orders, to: customers, from_columns: [customer_id], to_columns: [id]}
-      - {name: bad, from: orders, to: nowhere, from_columns: [x], to_columns: [y]}
-    metrics:
-      - {name: total, expression: {dialects: [{dialect: ANSI_SQL, expression: SUM(amount)}]}}
-      - {name: n, expression: {dialects: [{dialect: ANSI_SQL, expression: COUNT(*)}]}}
-      - {name: aov, expression: {dialects: [{dialect: ANSI_SQL, expression: "(SUM(amount)) / NULLIF(COUNT(*), 0)"}]}}
-      - {name: twice, expression: {dialects: [{dialect: ANSI_SQL, expression: SUM(amount * 2)}]}}
-      - {name: big, expression: {dialects: [{dialect: ANSI_SQL, expression: "SUM(CASE WHEN amount > 80 THEN 1 ELSE 0 END)"}]}}
-      - {name: reach, expression: {dialects: [{dialect: ANSI_SQL, expression: SUM(amount) / COUNT(DISTINCT customers.id)}]}}
-      - {name: p90, expression: {dialects: [{dialect: ANSI_SQL, expression: PERCENTILE_CONT(0.9) WITHIN GROUP (ORDER BY amount)}]}}
-      - {name: mid, expression: {dialects: [{dialect: ANSI_SQL, expression: PERCENTILE_CONT(0.5) WITHIN GROUP (ORDER BY amount)}]}}
-      - {name: weighted, expression: {dialects: [{dialect: ANSI_SQL, expression: SUM(orders.amount * customers.points)}]}}
-      - {name: top_case, expression: {dialects: [{dialect: ANSI_SQL, expression: CASE WHEN SUM(amount) > 1 THEN 1 END}]}}
-      - {name: windowed, expression: {dialects: [{dialect: ANSI_SQL, expression: SUM(amount) OVER ()}]}}
-      - {name: unclear, expression: {dialects: [{dialect: ANSI_SQL, expression: COUNT(DISTINCT id)}]}}
-""")
+
+def _ansi(expression):
+    return {"dialects": [{"dialect": "ANSI_SQL", "expression": expression}]}
+
+
+OSI = {
+    "version": "0.2.0.dev0",
+    "semantic_model": [{
+        "name": "library",
+        "datasets": [
+            {
+                "name": "loans", "source": "loans", "primary_key": ["id"],
+                "fields": [
+                    *[{"name": n, "expression": _ansi(n)} for n in ("id", "reader_id", "days")],
+                    {"name": "sign", "expression": {"dialects": [{"dialect": "SNOWFLAKE", "expression": "UPPER(shelf)"}]}},
+                    {"name": "slice", "expression": {"dialects": [{"dialect": "MDX", "expression": "[s]"}]}},
+                    {"name": "lent_on", "expression": _ansi("lent_on"), "dimension": {"is_time": True}},
+                ],
+            },
+            {"name": "readers", "source": "readers", "primary_key": ["id"], "fields": [{"name": n, "expression": _ansi(n)} for n in ("id", "town", "age")]},
+        ],
+        "relationships": [
+            {"name": "taken_by", "from": "loans", "to": "readers", "from_columns": ["reader_id"], "to_columns": ["id"]},
+            {"name": "lost", "from": "loans", "to": "shelves", "from_columns": ["x"], "to_columns": ["y"]},
+        ],
+        "metrics": [
+            {"name": name, "expression": _ansi(expression)}
+            for name, expression in {
+                "whole": "SUM(days)", "n": "COUNT(*)", "rate": "(SUM(days)) / NULLIF(COUNT(*), 0)", "double": "SUM(days * 2)", "n_long": "SUM(CASE WHEN days > 20 THEN 1 ELSE 0 END)",
+                "each": "SUM(days) / COUNT(DISTINCT readers.id)", "p80": "PERCENTILE_CONT(0.8) WITHIN GROUP (ORDER BY days)", "mid": "PERCENTILE_CONT(0.5) WITHIN GROUP (ORDER BY days)",
+                "reader_days": "SUM(loans.days * readers.age)", "branch": "CASE WHEN SUM(days) > 1 THEN 1 END", "over": "SUM(days) OVER ()", "whose": "COUNT(DISTINCT id)",
+            }.items()
+        ],
+    }],
+}
 
 
 @pytest.fixture(scope="module")
 def tables(spark):
-    orders = spark.sql("""SELECT * FROM VALUES (1, 'completed', 100D, 1, TIMESTAMP_NTZ'2025-01-15'), (2, 'completed', 200D, 2, TIMESTAMP_NTZ'2025-01-20'), (3, 'pending', 50D, 1, TIMESTAMP_NTZ'2025-02-10'),
-        (4, 'cancelled', 75D, 3, TIMESTAMP_NTZ'2025-02-15') AS t(id, status, amount, customer_id, created_at)""")
-    customers = spark.sql("SELECT * FROM VALUES (1, 'US', 90D), (2, 'EU', 60D), (3, 'US', 80D) AS t(id, region, points)")
-    return {"orders": orders, "fct_orders": orders, "customers": customers, "dim_customers": customers}
+    loans = spark.sql("""SELECT * FROM VALUES (1, 'poems', 14D, 1, TIMESTAMP_NTZ'2033-02-04'), (2, 'maps', 21D, 2, TIMESTAMP_NTZ'2033-02-18'), (3, 'poems', 7D, 3, TIMESTAMP_NTZ'2033-03-02'),
+        (4, 'tales', 30D, 1, TIMESTAMP_NTZ'2033-03-20'), (5, 'maps', 10D, 2, TIMESTAMP_NTZ'2033-03-25') AS t(id, shelf, days, reader_id, lent_on)""")
+    readers = spark.sql("SELECT * FROM VALUES (1, 'Hill', 40D), (2, 'Dale', 65D), (3, 'Hill', 22D) AS t(id, town, age)")
+    return {"loans": loans, "fct_loans": loans, "readers": readers, "dim_readers": readers}
 
 
 def values(spark, tables, made, *measures, **more):
     engine = Engine(spark, tables)
     made.register(engine)
     named = [{"formula": m, "name": m} for m in measures]
-    rows = engine.execute({"source_model": "orders", "measures": named, **more}).df.collect()
+    rows = engine.execute({"source_model": "loans", "measures": named, **more}).df.collect()
     return [tuple(r) for r in rows]
 
 
 def test_dbt_measures_and_metrics(spark, tables):
     made = dbt.convert([DBT])
     formulas = {m.name: m.formula for m in made.models[0].measures}
-    assert formulas["revenue"] == "amount:sum" and formulas["n_orders"] == "*:count" and formulas["aov"] == "revenue / nullif(n_orders, 0)"
-    assert formulas["growth"] == "revenue - time_shift(revenue, -1, 'month')" and formulas["so_far"] == "cumsum(revenue)"
-    assert values(spark, tables, made, "revenue", "total", "mean_amount", "doubled", "n_orders", "n_big") == [(425, 425, 106.25, 850, 4, 2)]
-    assert values(spark, tables, made, "us_revenue", "done", "aov", "both") == [(225, 1, 106.25, 515)]
-    assert values(spark, tables, made, "share", "amount_90") == [(pytest.approx(225 / 425), pytest.approx(170))]
-    month = {"time_dimensions": [{"dimension": "created_at", "granularity": "month"}]}
-    assert [r[1:] for r in sorted(values(spark, tables, made, "so_far", "growth", **month))] == [(300, None), (425, -175)]
+    assert formulas["days_out"] == "days:sum" and formulas["n_loans"] == "*:count" and formulas["rate"] == "days_out / nullif(n_loans, 0)"
+    assert formulas["gain"] == "days_out - time_shift(days_out, -1, 'month')" and formulas["running"] == "cumsum(days_out)"
+    assert values(spark, tables, made, "days_out", "all_days", "usual", "hours", "n_loans", "n_long") == [(82, 82, 16.4, 1968, 5, 2)]
+    assert values(spark, tables, made, "hill_days", "late_poems", "rate", "mix") == [(51, 1, 16.4, 147)]
+    assert values(spark, tables, made, "hill_part", "long_day") == [(pytest.approx(51 / 82), pytest.approx(21))]
+    month = {"time_dimensions": [{"dimension": "lent_on", "granularity": "month"}]}
+    assert [r[1:] for r in sorted(values(spark, tables, made, "running", "gain", **month))] == [(35, None), (82, 12)]
 
 
 def test_dbt_refuses_what_it_cannot_say():
     made = dbt.convert([DBT])
-    refused = {i.entity: i.category for i in made.issues}
-    assert refused == {
-        "orders.balance": "semi-additive measure", "orders.lag": "name of a transform", "rolling": "rolling window", "on_rolling": "input",
-        "moved_ratio": "offset of a composed metric", "funnel": "metric", "circle": "metric",
+    assert {i.entity: i.category for i in made.issues} == {
+        "loans.on_loan": "semi-additive measure", "loans.lead": "name of a transform", "fortnight": "rolling window", "of_fortnight": "input",
+        "rate_before": "offset of a composed metric", "joined_up": "metric", "knot": "metric",
     }
     assert made.report().endswith("2 models, 7 unconverted, 0 dropped")
 
 
 def test_osi_metrics(spark, tables):
     made = osi.convert([OSI])
-    orders = next(m for m in made.models if m.name == "orders")
-    formulas = {m.name: m.formula for m in orders.measures}
-    assert formulas["aov"] == "(amount:sum) / nullif(*:count, 0)" and formulas["reach"] == "amount:sum / customers.id:count_distinct"
-    assert formulas["p90"] == "amount:percentile(p=0.9)" and formulas["mid"] == "amount:median" and orders.default_time_dimension == "created_at"
-    assert values(spark, tables, made, "total", "n", "aov", "twice", "big") == [(425, 4, 106.25, 850, 2)]
-    assert values(spark, tables, made, "reach", "mid", "weighted") == [(pytest.approx(425 / 3), 87.5, 100 * 90 + 200 * 60 + 50 * 90 + 75 * 80)]
+    loans = next(m for m in made.models if m.name == "loans")
+    formulas = {m.name: m.formula for m in loans.measures}
+    assert formulas["rate"] == "(days:sum) / nullif(*:count, 0)" and formulas["each"] == "days:sum / readers.id:count_distinct"
+    assert formulas["p80"] == "days:percentile(p=0.8)" and formulas["mid"] == "days:median" and loans.default_time_dimension == "lent_on"
+    assert values(spark, tables, made, "whole", "n", "rate", "double", "n_long") == [(82, 5, 16.4, 164, 2)]
+    assert values(spark, tables, made, "each", "mid", "reader_days") == [(pytest.approx(82 / 3), 14, 14 * 40 + 21 * 65 + 7 * 22 + 30 * 40 + 10 * 65)]
 
 
 def test_osi_refuses_what_it_cannot_say():
     made = osi.convert([OSI])
-    assert {i.entity: i.category for i in made.issues} == {
-        "orders.cube": "dialect", "bad": "join", "top_case": "expression", "windowed": "expression", "unclear": "column",
-    }
+    assert {i.entity: i.category for i in made.issues} == {"loans.slice": "dialect", "lost": "join", "branch": "expression", "over": "expression", "whose": "column"}
 
 
 def test_folders_are_read(tmp_path):
-    (tmp_path / "a.yml").write_text(yaml.safe_dump(DBT))
-    (tmp_path / "b.json").write_text('{"version": "9", "semantic_model": []}')
-    assert [m.name for m in dbt.read(str(tmp_path)).models] == ["orders", "customers"]
+    (tmp_path / "first.yml").write_text(yaml.safe_dump(DBT))
+    (tmp_path / "second.json").write_text('{"version": "9", "semantic_model": []}')
+    assert [m.name for m in dbt.read(str(tmp_path)).models] == ["loans", "readers"]
     assert [i.severity for i in osi.read(str(tmp_path)).issues] == ["info"]

@@ -8,10 +8,11 @@ import duckdb
 import pandas as pd
 import pytest
 
-from cadenza import workload
+from cadenza import workload, workload_forms
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
+assert workload_forms  # registers more queries
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the test tables aren't here")
 
 
