@@ -28,14 +28,28 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     The files outlive the loss of any executor. They go when the driver's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = _new_path(spark, name)
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep_bucketed(df: DataFrame, name: str, buckets: int, keys: list[str]) -> tuple[DataFrame, str]:
+    """Like `keep`, as a table whose buckets joins by the keys read in place; also its name, to be dropped from the catalog."""
+    spark = df.sparkSession
+    path = _new_path(spark, name)
+    table_name = "cadenza_" + re.sub(r"\W", "_", path.rsplit("/", 1)[1])
+    df.write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table_name)
+    return spark.table(table_name), table_name
+
+
+def _new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that goes when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

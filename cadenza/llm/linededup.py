@@ -1,11 +1,12 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a table of line keys sorted by their 128-bit hash, with the documents that hold each and the largest
+A run is a table of line keys, bucketed and sorted by their 128-bit hash, with the number of documents that hold each and the largest
 of their ids. Documents come in batches of descending ids. A new batch merge-anti-joins the
 runs: keys that are settled there (enough documents, all with larger ids) need nothing more; the rest become the batch's own run
 at level 0. When a level has `FANOUT` runs, they are merged into one of the next level, so
 there are never more than FANOUT runs a level and log(batches) levels. At the end all levels
 are merged: a key found in at least `LEAST_DOCS` documents keeps its lines only in the document with the largest id.
+All runs have the same buckets, so merges and anti-joins read them in place: only a batch's own lines are dealt.
 
 Lines are made distinct by document, then counted within tasks before they are dealt by line, so a line that fills a third of all lines
 costs each task one row there; texts are shuffled once, by id, to meet the list of their dropped keys.
@@ -19,20 +20,22 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._io import keep
+from ._io import keep, keep_bucketed
 from ._text import tidy
 
 LEAST_DOCS = 3
 LEAST_CHARS = 20
 FANOUT = 2
-#: Batches that a whole table is read in.
-BATCHES = 4
+#: A whole table is read in batches of so many lines, or, above `MOST_BATCHES` of these, in as many larger ones.
+BATCH_LINES = 1 << 20
+MOST_BATCHES = 64
 _BLANK = " \t\n\x0b\x0c\r"
 _UPPER = {c: c + 32 for c in range(65, 91)}
 
@@ -67,55 +70,65 @@ def document_lines(docs: DataFrame) -> DataFrame:
     return own.mapInArrow(tidy(run), "h1 long, h2 long, doc_id long").distinct()
 
 
-def _merged(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("last").alias("last"))
+def _both(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Two runs merged: both are read in order of their keys."""
+    joined = one.join(other.select("h1", "h2", F.col("docs").alias("_docs"), F.col("last").alias("_last")).hint("merge"), ["h1", "h2"], "full")
+    docs = F.coalesce("docs", F.lit(0)) + F.coalesce("_docs", F.lit(0))
+    return joined.select("h1", "h2", docs.alias("docs"), F.greatest("last", "_last").alias("last"))
 
 
 class Runs:
     """The levels; `add` takes batches in descending order of doc_id, rows h1, h2, doc_id without repeats."""
 
-    def __init__(self, fanout: int = FANOUT, least_docs: int = LEAST_DOCS):
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT, least_docs: int = LEAST_DOCS):
         self.levels: list[list[DataFrame]] = []
-        self.fanout, self.least_docs = fanout, least_docs
+        self.spark, self.fanout, self.least_docs = spark, fanout, least_docs
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.tables: list[str] = []
 
     def _run(self, rows: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(keep(rows.sortWithinPartitions("h1", "h2"), f"run-{level}"))
+        run, table = keep_bucketed(rows.select("h1", "h2", "docs", "last"), f"run-{level}", self.buckets, ["h1", "h2"])
+        self.tables.append(table)
+        self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
             runs, self.levels[level] = self.levels[level], []
-            self._run(_merged(_union(runs)), level + 1)
+            self._run(reduce(_both, runs), level + 1)
 
-    def all(self) -> DataFrame | None:
-        runs = [r for level in self.levels for r in level]
-        return _union(runs) if runs else None
+    def all(self) -> list[DataFrame]:
+        return [r for level in self.levels for r in level]
+
+    def unsettled(self, batch: DataFrame) -> DataFrame:
+        """Rows of the batch whose keys the runs don't have in enough documents."""
+        known = F.lit(0)
+        for k, run in enumerate(self.all()):
+            batch = batch.join(run.select("h1", "h2", F.col("docs").alias(f"_{k}")).hint("merge"), ["h1", "h2"], "left")
+            known = known + F.coalesce(f"_{k}", F.lit(0))
+        return batch.where(known < self.least_docs).select("h1", "h2", "docs", "last")
 
     def add(self, lines: DataFrame) -> None:
         batch = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("last"))
-        known = self.all()
-        if known is not None:
-            settled = _merged(known).where(F.col("docs") >= self.least_docs)
-            batch = batch.join(settled.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti")
-        self._run(batch, 0)
+        self._run(self.unsettled(batch), 0)
 
     def repeated(self) -> DataFrame:
         """Rows h1, h2, last: the keys of at least least_docs documents."""
-        return _merged(self.all()).where(F.col("docs") >= self.least_docs).select("h1", "h2", "last")
-
+        return reduce(_both, self.all()).where(F.col("docs") >= self.least_docs).select("h1", "h2", "last")
 
-def _union(runs: list[DataFrame]) -> DataFrame:
-    out = runs[0]
-    for more in runs[1:]:
-        out = out.unionByName(more)
-    return out
+    def close(self) -> None:
+        """Takes the runs from the catalog; their files go with the session."""
+        for table in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
-def dropped_keys(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+def dropped_keys(docs: DataFrame, batch_lines: int = BATCH_LINES) -> DataFrame:
     """Rows _id, _drop: for each document that loses lines, their keys (16 bytes each, on end)."""
     lines = keep(document_lines(docs), "lines")
-    edges = lines.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
-    runs = Runs()
-    bounds = [None, *sorted(set(edges)), None]
+    batches = min(MOST_BATCHES, max(1, -(-lines.count() // batch_lines)))
+    cuts = [i / batches for i in range(1, batches)]
+    edges = lines.agg(F.percentile_approx("doc_id", cuts, 1000)).first()[0] if cuts else []
+    runs = Runs(docs.sparkSession)
+    bounds = [None, *sorted(set(edges or [])), None]
     for lo, hi in list(zip(bounds[:-1], bounds[1:], strict=True))[::-1]:
         part = lines
         if lo is not None:
@@ -124,6 +137,7 @@ def dropped_keys(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
             part = part.where(F.col("doc_id") <= hi)
         runs.add(part)
     over = keep(runs.repeated(), "repeated")
+    runs.close()
     gone = lines.join(over, ["h1", "h2"]).where("doc_id <> last")
     return gone.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("h1", "h2")).alias("_drop"))
 

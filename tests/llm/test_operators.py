@@ -287,11 +287,27 @@ def test_rows_that_repeat_an_id_are_one_document(spark):
 
 
 def test_runs_are_levelled(spark):
-    runs = linededup.Runs(fanout=2)
+    runs = linededup.Runs(spark, fanout=2)
     for k in (3, 2, 1, 0):
         runs.add(spark.createDataFrame([(1, 1, k), (k, 7, k)], "h1 long, h2 long, doc_id long"))
     assert [len(level) for level in runs.levels] == [0, 0, 1]
     assert [tuple(r) for r in runs.repeated().collect()] == [(1, 1, 3)]
+    plan = linededup._both(runs.all()[0], runs.all()[0]).where("docs > 0")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan  # runs are read in place
+    batch = spark.createDataFrame([(1, 1, 1, 1)], "h1 long, h2 long, docs long, last long").groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("last").alias("last"))
+    plan = runs.unsettled(batch)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and runs.unsettled(batch).count() == 0  # only the batch is dealt
+    runs.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("cadenza_run")]
+
+
+@pytest.mark.parametrize("lines", [7, 40])
+def test_line_dedup_in_many_batches(spark, monkeypatch, lines):
+    monkeypatch.setattr(linededup.dropped_keys, "__defaults__", (lines,))
+    docs = [(k, "\n".join(prose(j, 6, 9) for j in range(k % 5, k % 5 + 4)), "a") for k in range(40)]
+    docs += [(100 + k, "the one line that everybody has here", "a") for k in range(60)]
+    got = linededup.line_report(table(spark, docs)).collect()
+    assert sorted([(r.doc_id, r.n_lines, r.n_dropped, r.kept) for r in got], key=str) == brute_lines(docs)
 
 
 def test_secret_rules(spark):
