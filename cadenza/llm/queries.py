@@ -150,13 +150,67 @@ select doc_id, len(w)::bigint as n_words, round(s, 3) as log10_sum, round(s / le
 """
 
 
+# Projections of op2, op8 and op9 to what SQL can say: a second check of those columns.
+
+
+def mixing_targets(spark: SparkSession, folder: str) -> DataFrame:
+    return op2_mixing(spark, folder).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), (F.col("taken") <= 2 * F.col("size")).alias("within"))
+
+
+def fingerprint_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return op8_fingerprints(spark, folder).select("doc_id", "n_chars", "edited_sha256")
+
+
+def secret_base(spark: SparkSession, folder: str) -> DataFrame:
+    return op9_secrets(spark, folder).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+MIXING_TARGETS_SQL = """
+with doc as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size from documents),
+src as (select source, sum(size) as s, row_number() over (order by source is null, encode(source)) as nth from doc group by source),
+w as (select source, s, 2.0 * s as cap, [3, 1, 2][((nth - 1) % 3 + 1)::int]::double as w from src),
+goal as (select 1.5 * sum(s) as t from w),
+-- Filled to a level l, the sources take sum(least(cap, l * w)); it has a kink where a source is full.
+kink as (select x.cap / x.w as l, sum(least(y.cap, x.cap / x.w * y.w)) as takes from w x, w y group by x.source, x.cap, x.w),
+part as (select coalesce(max(l) filter (where takes <= t), 0) as low from kink, goal),
+level as (select max(low) + (max(t) - sum(least(cap, low * w))) / nullif(sum(w) filter (where cap / w > low), 0) as l from w, part, goal)
+select doc_id, size, s::bigint as source_size, round(least(cap, coalesce(l, low) * w), 3) as target, true as within
+from doc join w on w.source is not distinct from doc.source, level, part
+"""
+
+FINGERPRINT_TEXTS_SQL = """
+with doc as (select doc_id, coalesce(text, '') as t from documents),
+pair as (select doc_id, t, length(t) as n, coalesce(lead(t) over (order by doc_id), first_value(t) over (order by doc_id)) as after from doc)
+select doc_id, n::bigint as n_chars, sha256(substr(t, 1, n - n // 4) || substr(after, 1, n // 4)) as edited_sha256 from pair
+"""
+
+_ASSIGN = secrets.BASE[0].pattern.replace("'", "''")
+SECRET_BASE_SQL = f"""
+with doc as (select doc_id, coalesce(text, '') as t from documents),
+rule as (select * from (values (0, 'assign', 8), (1, 'access', 16), (2, 'hex', 32)) r(nth, kind, least)),
+cut as (
+  select doc_id, 0 as nth, string_split_regex(t, '{_ASSIGN}') as p, regexp_extract_all(t, '{_ASSIGN}', 0) as m, regexp_extract_all(t, '{_ASSIGN}', 2) as g from doc
+  union all select doc_id, 1, string_split_regex(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+') from doc
+  union all select doc_id, 2, string_split_regex(t, '[0-9a-f]+'), regexp_extract_all(t, '[0-9a-f]+'), regexp_extract_all(t, '[0-9a-f]+') from doc),
+one as (select doc_id, nth, i, length(p[i]) as gap, length(m[i]) as n, length(g[i]) as size from cut, unnest(range(1, len(m) + 1)) as x(i)),
+placed as (select *, sum(gap + n) over (partition by doc_id, nth order by i) as stop from one),
+span as (select doc_id, nth, kind, (stop - n)::bigint as start, stop::bigint as stop from placed join rule using (nth) where size >= least)
+select doc_id, count(*) filter (where nth = 0) as n_assign, count(*) filter (where nth = 1) as n_access, count(*) filter (where nth = 2) as n_hex,
+       sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' order by start, nth), '')) as base_sha256
+from doc left join span using (doc_id) group by doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_decontamination, op2_mixing, op3_near_dedup, op4_pii, op5_line_dedup,
         op6_quality, op7_lm_scores, op8_fingerprints, op9_secrets, op10_toxicity,
     )
-    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (mixing_targets, fingerprint_texts, secret_base)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op3_near_dedup": OP3_SQL, "op5_line_dedup": OP5_SQL, "op7_lm_scores": OP7_SQL}
+    return {
+        "op1_decontamination": OP1_SQL, "op3_near_dedup": OP3_SQL, "op5_line_dedup": OP5_SQL, "op7_lm_scores": OP7_SQL,
+        "mixing_targets": MIXING_TARGETS_SQL, "fingerprint_texts": FINGERPRINT_TEXTS_SQL, "secret_base": SECRET_BASE_SQL,
+    }

@@ -1,6 +1,5 @@
 """Each operator against brute force on small tables with nulls, empty and long texts, ties and repeated rows."""
 
-import hashlib
 import random
 import re
 import time
@@ -14,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza.llm import decontam, fingerprint, linededup, lm, mixing, neardup, pii, quality, secrets, toxicity
-from cadenza.llm._text import ALNUM, NONSPACE, shingle_sets, strings, words
+from cadenza.llm._text import ALNUM, NONSPACE, mix, shingle_sets, strings, words
 from cadenza.llm.trigrams import trigram_query
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string, component string, _id int, kinds int"
@@ -534,3 +533,80 @@ def test_classifier_on_held_out_rows(spark, module, label, parts, held):
     if module is toxicity:
         kept = toxicity.drop_toxic(docs, model, 0.5)
         assert kept.columns == docs.columns and 0 < kept.count() < 903
+
+
+TEXTS = [*(t or "" for _, t, _ in ODD), prose(1, 300, 30), "A line\nA line\n\nDIGITS 12 34 ## $$ é é end." * 7, "one", prose(3, 2000, 400)]
+
+
+def plain_features(text):
+    """The features of the quality model by plain loops."""
+    raw, w = text.encode(), re.findall(rb"[^\x20\x09-\x0D]+", text.encode())
+    low = [re.sub(rb"[A-Z]", lambda m: m[0].lower(), x) for x in w]
+    n, some, lines = max(len(raw), 1), max(len(w), 1), text.split("\n")
+    symbols, stops = b"#$%&*|!~^@<>{}[]=+\\_", b".,;:?"
+    return [
+        np.log1p(len(w)), sum(map(len, w)) / some, sum(65 <= c <= 90 for c in raw) / n, sum(c in symbols for c in raw) / n, sum(48 <= c <= 57 for c in raw) / n, sum(c in stops for c in raw) / n,
+        np.log1p(n / (raw.count(b"\n") + 1)), len(set(low)) / some, len(set(lines)) / len(lines), sum(len(x) == 1 for x in w) / some, sum(c > 127 for c in raw) / n,
+        sum(any(c in symbols for c in x) for x in w) / some, np.log1p(max(map(len, w), default=0)), sum(a == b for a, b in zip(low, low[1:], strict=False)) / some,
+    ]
+
+
+def test_quality_scores_by_plain_lookups(spark):
+    docs, labels = classified(spark, "quality")
+    model = quality.train(docs, labels)
+    got = quality.describe(strings(pa.array(TEXTS)))
+    scores = model.predict(got)
+    for text, x, p in zip(TEXTS, got, scores, strict=True):
+        assert list(x) == pytest.approx(plain_features(text))
+        bins = [sum(v >= e for e in edges) for v, edges in zip(x, model.edges, strict=True)]
+        logit = model.bias + sum(t[b] for t, b in zip(model.tables, bins, strict=True))
+        logit += sum(t[model.coarse[i][bins[i]], model.coarse[j][bins[j]]] for (i, j), t in model.pairs.items())
+        assert p == pytest.approx(1 / (1 + np.exp(-logit)))
+    assert len(model.pairs) == quality.PAIRS
+
+
+def test_toxicity_scores_by_plain_sums(spark):
+    docs, labels = classified(spark, "toxic")
+    model = toxicity.train(docs, labels)
+    for text, p in zip(TEXTS, model.predict(strings(pa.array(TEXTS))), strict=True):
+        each = []
+        for word in plain_words(text, "alnum"):
+            alone = words(strings(pa.array([word])))
+            buckets, owner = toxicity.subwords(alone)
+            size = len(word.encode())
+            assert len(buckets) == 1 + max(0, size - 2) + max(0, size - 3) and not owner.any()
+            each.append(np.mean([float(model.score[b]) for b in buckets]))
+        logit = model.bias + (np.mean(each) if each else 0)
+        assert p == pytest.approx(1 / (1 + np.exp(-logit)), rel=1e-5)
+
+
+def test_samples_by_a_plain_loop():
+    for text in TEXTS:
+        w = words(strings(pa.array([text])), NONSPACE)
+        terms = Counter(int(t) for t in fingerprint._terms(w) if t)
+        plain = plain_words(text, "space")
+        assert sorted(terms.values()) == sorted(Counter(zip(plain, plain[1:], strict=False) if len(plain) > 1 else plain).values())
+        want = []
+        for k in range(fingerprint.SAMPLES):
+            least = np.float32(np.inf)
+            for term, weight in terms.items():
+                r, b, c = (fingerprint.__dict__[name][term >> shift & (fingerprint.POOL - 1)][k] for name, shift in (("_R", 1), ("_B", 25), ("_LNC", 45)))
+                t = np.floor(np.float32(np.log(weight)) / r + b) if weight > 1 else np.float32(0)
+                least = min(least, c - r * (t + np.float32(1) - b))
+            code = mix(np.array([least], np.float32).view(np.uint32).astype(np.uint64) + np.uint64(k << 32))[0]
+            want.append(int(code >> np.uint64(48)) | 1 if terms else 0)
+        assert fingerprint.samples(strings(pa.array([text])))[0].tolist() == want
+
+
+def test_fingerprint_rows_by_the_samples(spark):
+    docs = [(k, t, "a") for k, t in enumerate(TEXTS)]
+    rows = {r.doc_id: r for r in fingerprint.fingerprints(table(spark, docs)).collect()}
+    own = fingerprint.samples(strings(pa.array(TEXTS)))
+    for k, text in enumerate(TEXTS):
+        following = TEXTS[(k + 1) % len(TEXTS)]
+        edited = text[: len(text) - len(text) // 4] + following[: len(text) // 4]
+        new = fingerprint.samples(strings(pa.array([edited])))[0]
+        r = rows[k]
+        assert (r.edited, r.n_chars) == (edited, len(text))
+        assert (r.fingerprint, r.edited_fingerprint) == tuple("".join(f"{x:04x}" for x in s) for s in (own[k], new))
+        assert r.near_edited == np.mean(own[k] == new) and r.near_next == np.mean(own[k] == own[(k + 1) % len(TEXTS)])
