@@ -25,9 +25,16 @@ class _Entry:
     seen: tuple = ()
 
 
+#: Results that are kept at once, at most.
+MOST = 64
+
+
 @dataclass
 class ResultCache:
+    """The results used least recently go when there are more than `most`."""
+
     clock: Callable[[], float] = time.monotonic
+    most: int = MOST
     entries: list[_Entry] = field(default_factory=list)
     hits: int = 0
 
@@ -38,9 +45,12 @@ class ResultCache:
                 self._drop(e)
             elif e.plan.sameSemantics(df):
                 self.hits += 1
+                self.entries.append(self.entries.pop(self.entries.index(e)))
                 return e.cached
         entry = _Entry(df, df.cache(), self.clock(), config, _look(config, read))
         self.entries.append(entry)
+        for e in self.entries[: -self.most]:
+            self._drop(e)
         return entry.cached
 
     def evict(self, df: DataFrame | None = None) -> int:

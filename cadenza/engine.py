@@ -14,6 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import dsl
 from .cache import CacheConfig, ResultCache
 from .errors import CadenzaError, JoinPathError, PolicyError, SchemaDrift, UnknownName
 from .functions.display import format_of, formatted
@@ -297,6 +298,12 @@ class Engine:
         queries = query if isinstance(query, (list, tuple)) else [query]
         return self._compile_list([Query.of(q) for q in queries], variables)[0]
 
+    def dry_run(self, query: Query | dict | list | str, variables: dict | None = None) -> dict:
+        """What a query would give: its columns with their types, and the plan. Nothing runs."""
+        made = self.execute(query, variables, explain=True)
+        kinds = dict(made.df.dtypes)
+        return {"columns": [{**c, "type": kinds[c["name"]]} for c in made.columns], "plan": made.plan}
+
     def sql_text(self, query, variables: dict | None = None) -> str:
         """The optimised plan, without running it."""
         return self.execute(query, variables, explain=True).plan
@@ -340,6 +347,37 @@ class Engine:
     def recommend_root(self, items: Sequence[str], hint: str | None = None) -> recommend.Recommendation:
         return recommend.recommend(self, items, hint)
 
+    def search(self, question: str, **more) -> DataFrame:
+        """Entities and notes that fit a question; see `notes.search`."""
+        from .notes import search
+
+        return search(self, question, **more)
+
+    def inspect(self, name: str, samples: int = 5) -> dict:
+        """All about one entity, `model` or `model.part`: definitions, reachable joins, and the values a column has most."""
+        head, _, part = name.partition(".")
+        m = self.model(head)
+        if not part:
+            return {
+                "id": head, "kind": "Model", "label": m.label, "description": m.description, "meta": m.meta, "source": m.sql_table or m.sql or "saved queries",
+                "columns": {c: t for c, t in self.get_column_types(head).items()}, "measures": {x.name: x.formula for x in m.measures},
+                "joins": {other: list(path) for other in sorted(self.models) if other != head and (path := self.join_path(head, other))},
+            }
+        if column := m.column(part):
+            kind = self.column_type(m, part)
+            from .functions.names import BY_TYPE, COUNTS
+
+            allowed = column.allowed_aggregations if column.allowed_aggregations is not None else sorted(COUNTS if column.primary_key else BY_TYPE[kind])
+            asked = {"source_model": head, "dimensions": [part], "measures": ["*:count"], "order": [{"column": "*:count", "direction": "desc"}], "limit": samples}
+            values = [r[0] for r in self.execute(asked).df.collect()]
+            return {"id": name, "kind": "ModelColumn", "label": column.label, "description": column.description, "meta": column.meta, "type": kind, "sql": column.sql, "aggregations": list(allowed), "values": values}
+        if measure := m.measure(part):
+            uses = sorted({a.path for a in dsl.aggregates(dsl.parse(measure.formula))})
+            return {"id": name, "kind": "Measure", "label": measure.label, "description": measure.description, "meta": measure.meta, "formula": measure.formula, "uses": uses}
+        if made := m.aggregation(part):
+            return {"id": name, "kind": "Aggregation", "formula": made.formula, "params": made.params}
+        raise UnknownName(f"model {head} has no {part!r}")
+
     def describe(self, name: str) -> str:
         """A model on one page."""
         m = self.model(name)

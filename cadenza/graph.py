@@ -36,7 +36,7 @@ class Node:
 class Hop:
     types: tuple[str, ...]
     low: int
-    high: int
+    high: int | None  # None: however many
     back: bool
 
 
@@ -87,9 +87,9 @@ def _hop(m: re.Match) -> Hop:
     low = high = 1
     if m["many"]:
         low = int(m["low"] or 1)
-        high = int(m["high"] or (MOST_HOPS if m["dots"] or not m["low"] else low))
-    if not 1 <= low <= high <= MOST_HOPS:
-        raise NotAllowed(f"a hop is repeated 1 to {MOST_HOPS} times")
+        high = int(m["high"]) if m["high"] else None if m["dots"] or not m["low"] else low
+    if not 1 <= low <= (low if high is None else high) <= MOST_HOPS:
+        raise NotAllowed(f"a hop is repeated 1 to {MOST_HOPS} times, or as often as it can be")
     return Hop(types, low, high, bool(m["back"]))
 
 
@@ -106,13 +106,39 @@ def nodes(engine, notes: DataFrame | None = None) -> DataFrame:
     return out.union(notes.where("id IS NOT NULL").select(_note(), F.lit("Memory"), F.col("id").cast("string")).distinct())
 
 
-def edges(engine, notes: DataFrame | None = None) -> DataFrame:
-    """Rows a, type, b. Notes (id, entities) mention what they are tagged with, once for each tag."""
+_EDGE = "a string, type string, b string"
+
+
+def _registered(engine) -> list[tuple[str, str, str]]:
+    """The edges between models and their parts."""
     rows = []
     for name, model in sorted(engine.models.items()):
         rows += [(name, "CONTAINS", f"{name}.{p.name}") for p in (*model.columns, *model.measures, *model.aggregations)]
         rows += [(name, "JOINS", j.target_model) for j in model.joins if j.target_model in engine.models]
-    out = engine.spark.createDataFrame(rows, "a string, type string, b string")
+    return rows
+
+
+def _reachable(engine, hop: Hop) -> DataFrame:
+    """Rows at, to: which models and parts lie some hops apart. The registry is on the driver already."""
+    next_: dict[str, set[str]] = {}
+    for a, kind, b in _registered(engine):
+        if kind in hop.types:
+            next_.setdefault(b if hop.back else a, set()).add(a if hop.back else b)
+    rows = []
+    for start in sorted(next_):
+        seen, todo = set(), list(next_[start])
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += next_.get(x, ())
+        rows += [(start, x) for x in sorted(seen)]
+    return engine.spark.createDataFrame(rows, "at string, to string")
+
+
+def edges(engine, notes: DataFrame | None = None) -> DataFrame:
+    """Rows a, type, b. Notes (id, entities) mention what they are tagged with, once for each tag."""
+    out = engine.spark.createDataFrame(_registered(engine), _EDGE)
     if notes is None:
         return out
     tags = notes.where("id IS NOT NULL").select(_note().alias("a"), F.lit("MENTIONS"), F.explode("entities").alias("b"))
@@ -132,10 +158,20 @@ def select(engine, text: str, notes: DataFrame | None = None) -> DataFrame:
         step = links.where(F.col("type").isin(*hop.types))
         step = step.select(F.col("b" if hop.back else "a").alias("at"), F.col("a" if hop.back else "b").alias("to")).distinct()
         reached, walk = None, found
-        for k in range(1, hop.high + 1):
+        for k in range(1, (hop.low if hop.high is None else hop.high) + 1):
             walk = walk.join(step, "at").select(F.col("to").alias("at"), "out").distinct()
             if k >= hop.low:
                 reached = walk if reached is None else reached.union(walk)
+        if hop.high is None:
+            # Notes only begin walks (or end them, backwards), so all steps between are among registered entities.
+            on = _reachable(engine, hop)
+            reached = reached.union(reached.join(on, "at").select(F.col("to").alias("at"), "out"))
+            if hop.back:
+                last = on.join(step.withColumnsRenamed({"at": "mid", "to": "end"}), F.col("to") == F.col("mid")).select("at", "end").distinct()
+                early = found
+                for _ in range(1, hop.low):
+                    early = early.join(step, "at").select(F.col("to").alias("at"), "out").distinct()
+                reached = reached.union(early.join(last, "at").select(F.col("end").alias("at"), "out"))
         found = reached.distinct().join(_those(every, chain[i]).select(F.col("id").alias("at")), "at", "left_semi")
         if i == wanted:
             found = found.select("at", F.col("at").alias("out")).distinct()

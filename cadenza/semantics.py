@@ -52,6 +52,8 @@ class Column:
     filter: str | None = None
     label: str | None = None
     format: str | None = None
+    description: str | None = None
+    meta: dict[str, Any] = field(default_factory=dict, hash=False)
 
     def __post_init__(self):
         if not self.name or re.search(r"[.:]", self.name):
@@ -67,6 +69,8 @@ class Measure:
     name: str | None = None
     type: str | None = None
     label: str | None = None
+    description: str | None = None
+    meta: dict[str, Any] = field(default_factory=dict, hash=False)
 
     def __post_init__(self):
         object.__setattr__(self, "type", type_name(self.type))
@@ -119,6 +123,7 @@ class Model:
     query_variables: dict[str, Any] = field(default_factory=dict)
     label: str | None = None
     description: str | None = None
+    meta: dict[str, Any] = field(default_factory=dict, hash=False)
     frame: Any = field(default=None, compare=False, repr=False)
     #: Of a stage: its columns that are aggregated values, and the models it came from.
     aggregated: frozenset[str] = frozenset()

@@ -11,8 +11,13 @@ from collections.abc import Iterable
 from typing import Any
 
 from ..functions.calendar import GRANULARITIES
-from .imports import IDENTIFIER, CannotSay, Draft, Imported, Issue, anchor, documents, finish, ways
+from .imports import IDENTIFIER, CannotSay, Draft, Imported, Issue, anchor, documents, finish, told, ways
 
+# The aggregations of the format, and its types of columns.
+_TYPES = {
+    "varchar": "TEXT", "text": "TEXT", "string": "TEXT", "char": "TEXT", "int": "INT", "integer": "INT", "bigint": "INT", "smallint": "INT", "double": "DOUBLE", "float": "DOUBLE",
+    "numeric": "DOUBLE", "decimal": "DOUBLE", "real": "DOUBLE", "boolean": "BOOLEAN", "bool": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP", "datetime": "TIMESTAMP",
+}
 _AGGREGATIONS = {
     "sum": "sum", "sum_boolean": "sum", "average": "avg", "avg": "avg", "count": "count", "count_distinct": "count_distinct",
     "count_distinct_approx": "count_distinct_approx", "min": "min", "max": "max", "median": "median", "percentile": "percentile",
@@ -30,7 +35,7 @@ def read(path: str) -> Imported:
 def convert(definitions: Iterable[dict]) -> Imported:
     definitions = list(definitions)
     gather = lambda key: [x for d in definitions for x in d.get(key) or ()]
-    return _Project(gather("semantic_models"), gather("metrics")).convert()
+    return _Project(gather("semantic_models"), gather("metrics"), gather("models")).convert()
 
 
 def _named(value: Any) -> dict:
@@ -49,7 +54,8 @@ def _filters(value: Any) -> list[str]:
 
 
 class _Project:
-    def __init__(self, models: list[dict], metrics: list[dict]):
+    def __init__(self, models: list[dict], metrics: list[dict], plain: list[dict] = ()):
+        self.plain = plain
         self.sources, self.metrics = {m["name"]: m for m in models}, {m["name"]: m for m in metrics}
         self.drafts: dict[str, Draft] = {}
         self.issues: list[Issue] = []
@@ -70,10 +76,14 @@ class _Project:
             for measure in m.get("measures") or ():
                 self.leaves[measure["name"]] = (m["name"], measure)
         for name, (model, measure) in self.leaves.items():
-            self._try(f"{model}.{name}", name, lambda n=name, o=model, d=measure: self.drafts[o].add_measure(n, self._leaf(n, [], o), d.get("label")))
+            self._try(f"{model}.{name}", name, lambda n=name, o=model, d=measure: self.drafts[o].add_measure(n, self._leaf(n, [], o), d))
         done: set[str] = set()
         for name in self.metrics:
             self._metric(name, done, ())
+        wrapped = {d.known["sql_table"] for d in self.drafts.values()}
+        for m in self.plain:
+            if m.get("name") and m["name"] not in wrapped and m["name"] not in self.drafts:
+                self._try(m["name"], m["name"], lambda m=m: self._plain(m))
         return finish(self.drafts, self.issues)
 
     def _try(self, entity: str, name: str, make) -> None:
@@ -85,8 +95,8 @@ class _Project:
 
     def _model(self, m: dict) -> None:
         relation = _RELATION.search(str(m.get("model") or ""))
-        draft = Draft(name=m["name"], sql_table=relation[1] if relation else str(m.get("model") or m["name"]), label=m.get("label"),
-                      description=m.get("description"), default_time_dimension=(m.get("defaults") or {}).get("agg_time_dimension"))
+        draft = Draft(name=m["name"], sql_table=relation[1] if relation else str(m.get("model") or m["name"]), **told(m),
+                      default_time_dimension=(m.get("defaults") or {}).get("agg_time_dimension"))
         self.drafts[m["name"]] = draft
         for e in m.get("entities") or ():
             column = str(e.get("expr") or e["name"])
@@ -101,9 +111,21 @@ class _Project:
                 draft.join_to(owner[0], [(column, owner[1] if IDENTIFIER.match(owner[1]) else e["name"])])
         for d in m.get("dimensions") or ():
             sql = str(d.get("expr") or d["name"])
-            column = {"name": d["name"], "type": "TIMESTAMP" if d.get("type") == "time" else None, "label": d.get("label"), "sql": None if sql == d["name"] else sql}
+            column = {"name": d["name"], "type": "TIMESTAMP" if d.get("type") == "time" else None, **told(d), "sql": None if sql == d["name"] else sql}
             draft.columns[d["name"]] = {**draft.columns.get(d["name"], {}), **{k: v for k, v in column.items() if v is not None}}
 
+    def _plain(self, m: dict) -> None:
+        """A model that no semantic model describes: its table with the columns it lists."""
+        if not IDENTIFIER.match(m["name"]) or "__" in m["name"]:
+            raise CannotSay("name", f"a model can't be called {m['name']!r}", "give it an alias")
+        config = m.get("config") or {}
+        draft = Draft(name=m["name"], sql_table=str(m.get("alias") or config.get("alias") or m["name"]), **told(m))
+        for c in m.get("columns") or ():
+            kind = _TYPES.get(re.sub(r"\W.*", "", str(c.get("data_type") or "")).lower())
+            rules = {r.get("type") for r in c.get("constraints") or () if isinstance(r, dict)}
+            draft.columns[c["name"]] = {"name": c["name"], **({"type": kind} if kind else {}), **({"primary_key": True} if "primary_key" in rules else {}), **told(c)}
+        self.drafts[m["name"]] = draft
+
     def _leaf(self, name: str, filters: list[str], home: str) -> str:
         """A measure as path.column:aggregation, its filters on the column."""
         model, m = self.leaves[name]
@@ -191,7 +213,7 @@ class _Project:
         formula = self._of_metric(m, [], home)
         if formula == name:  # a metric that only repeats its measure
             return
-        self.drafts[home].add_measure(name, formula, m.get("label"))
+        self.drafts[home].add_measure(name, formula, m)
 
     def _parts(self, m: dict) -> list[dict]:
         p = m.get("type_params") or {}

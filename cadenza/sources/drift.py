@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, replace
 
+from pyspark.errors import AnalysisException
+
 from ..errors import CadenzaError
 from ..operators.aggregate import type_of_spark
 from ..operators.relation import sql_names
@@ -15,24 +17,27 @@ _BUCKETS = {"INT": "number", "DOUBLE": "number", "TEXT": "text", "BOOLEAN": "boo
 @dataclass(frozen=True)
 class Drift:
     model: str
-    kind: str  # table, column, type, join, measure, filter
+    kind: str  # table, sql, query, column, type, join, measure, filter
     name: str
     why: str
 
 
 def validate(engine) -> list[Drift]:
-    """Differences between models of tables and the tables as they are, with what falls with them."""
+    """Differences between models and what they stand on as it is now, with what falls with them.
+
+    Models over SQL or saved queries are analysed, not run. Failures that say nothing about a schema, such as a lost connection, are raised.
+    """
     engine.tables.read_before.clear()
     engine._scans.clear()
     out: list[Drift] = []
     missing: dict[str, set[str]] = {}
     for model in engine.models.values():
-        if model.sql_table is None:
-            continue
+        kind = "table" if model.sql_table else "sql" if model.sql else "query"
+        source = model.sql_table or f"the {kind} of {model.name}"
         try:
-            schema = dict(engine.tables.read(model.sql_table).dtypes)
-        except (CadenzaError, Exception) as e:  # noqa: BLE001  any failure to read is drift
-            out.append(Drift(model.name, "table", model.sql_table, str(e).splitlines()[0][:200]))
+            schema = dict((engine.tables.read(model.sql_table) if model.sql_table else engine._scan(model)).dtypes)
+        except (CadenzaError, AnalysisException) as e:
+            out.append(Drift(model.name, kind, source, str(e).splitlines()[0][:200]))
             missing[model.name] = {c.name for c in model.columns}
             continue
         gone = set()
@@ -41,7 +46,7 @@ def validate(engine) -> list[Drift]:
             if re.fullmatch(r"[^\W\d]\w*", base) and not (c.sql and model.column(base) and base != c.name):
                 if base not in schema:
                     gone.add(c.name)
-                    out.append(Drift(model.name, "column", c.name, f"{model.sql_table} has no {base}"))
+                    out.append(Drift(model.name, "column", c.name, f"{source} has no {base}"))
                 elif c.type and _BUCKETS[c.type] != _BUCKETS[type_of_spark(schema[base])]:
                     out.append(Drift(model.name, "type", c.name, f"{c.type} is now {schema[base]}"))
         missing[model.name] = gone

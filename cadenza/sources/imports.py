@@ -64,6 +64,13 @@ class Imported:
             engine.add(model)
 
 
+def told(said: dict) -> dict:
+    """What a foreign definition says to people: label, description, metadata."""
+    meta = said.get("meta") or (said.get("config") or {}).get("meta")
+    out = {"label": said.get("label"), "description": said.get("description"), "meta": dict(meta) if isinstance(meta, dict) else None}
+    return {k: v for k, v in out.items() if v}
+
+
 class Draft:
     """A model while it is put together; measures and columns share one name space."""
 
@@ -89,14 +96,15 @@ class Draft:
         self.columns[name] = {"name": name, **({} if sql == name else {"sql": sql}), **{k: v for k, v in more.items() if v is not None}}
         return name
 
-    def add_measure(self, name: str, formula: str, label: str | None = None) -> None:
+    def add_measure(self, name: str, formula: str, said: dict | None = None) -> None:
+        """`said` is the foreign definition: its label, description and metadata come along."""
         if name in TRANSFORMS:
             raise CannotSay("name of a transform", f"{name!r} would hide the transform of that name", "rename it")
         if not IDENTIFIER.match(name):
             raise CannotSay("name", f"{name!r} is no identifier", "rename it")
         if name in self.columns or name in self.measures:
             raise CannotSay("name taken", f"model {self.name} already has {name!r}", "rename one of them")
-        self.measures[name] = {"name": name, "formula": formula, **({"label": label} if label else {})}
+        self.measures[name] = {"name": name, "formula": formula, **told(said or {})}
 
     def join_to(self, target: str, pairs: list[tuple[str, str]]) -> None:
         self.joins.setdefault(target, {"target_model": target, "join_pairs": pairs})

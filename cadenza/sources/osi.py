@@ -10,7 +10,7 @@ from collections.abc import Iterable
 
 from ..functions.names import NUMERIC, SCALARS, aggregation_name
 from ..operators.relation import sql_names
-from .imports import IDENTIFIER, CannotSay, Draft, Imported, Issue, anchor, documents, finish, ways
+from .imports import IDENTIFIER, CannotSay, Draft, Imported, Issue, anchor, documents, finish, told, ways
 
 # Versions with this structure, and dialects whose expressions are SQL.
 VERSIONS = ("1.0", "0.1.0", "0.1.1", "0.2.0.dev0")
@@ -70,7 +70,7 @@ class _Part:
         if name in self.all:
             raise CannotSay("name taken", f"there is another dataset {name}", "rename one of them")
         where = {"sql": source} if len(source.split()) > 1 else {"sql_table": source}
-        draft = Draft(name=name, label=d.get("label"), description=d.get("description"), **where)
+        draft = Draft(name=name, **told(d), **where)
         keys = set(d.get("primary_key") or ())
         for f in d.get("fields") or ():
             try:
@@ -78,7 +78,7 @@ class _Part:
             except CannotSay as e:
                 self.issues.append(e.issue(f"{name}.{f['name']}"))
                 continue
-            column = {"name": f["name"], **({} if sql == f["name"] else {"sql": sql}), **({"label": f["label"]} if f.get("label") else {})}
+            column = {"name": f["name"], **({} if sql == f["name"] else {"sql": sql}), **told(f)}
             if f["name"] in keys:
                 column["primary_key"] = True
             draft.columns[f["name"]] = column
@@ -105,7 +105,7 @@ class _Part:
         used = list(dict.fromkeys(o for p in pieces if isinstance(p, _Aggregate) for a in p.args for o in self._datasets(a)))
         host = anchor(self.drafts, used) if used else self._fact()
         formula = "".join(p if isinstance(p, str) else self._aggregate(name, host, p) for p in pieces)
-        self.drafts[host].add_measure(name, formula.strip(), m.get("label"))
+        self.drafts[host].add_measure(name, formula.strip(), m)
 
     def _fact(self) -> str:
         """The dataset no other one refers to: what a count without columns counts."""

@@ -60,3 +60,22 @@ def test_ranked_notes_within_a_pattern(catalog):
 
 def test_without_notes_or_models(spark):
     assert graph.select(Engine(spark), "MATCH (a)-[:JOINS]->(b) RETURN b.id AS id").collect() == []
+
+
+def test_hops_without_an_end(spark):
+    names = [f"m{k}" for k in range(9)]
+    links = {n: names[(k + 1) % 9] for k, n in enumerate(names)}  # a ring
+    models = [{"name": n, "sql_table": "t", "columns": [{"name": "id"}], "joins": [{"target_model": links[n], "join_pairs": [["id", "id"]]}]} for n in names]
+    e = Engine(spark, {"t": spark.range(1)}, models)
+    ask = lambda many: sorted(r.id for r in graph.select(e, f"MATCH (a:Model {{id: 'm0'}})-[:JOINS*{many}]->(b) RETURN b.id AS id").collect())
+    assert ask("") == ask("1..") == ask("3..") == names
+    assert ask("2..3") == ["m2", "m3"]
+
+
+def test_hops_without_an_end_reach_notes(catalog):
+    e, notes = catalog
+    ask = lambda text: sorted(r.id for r in graph.select(e, text, notes).collect())
+    assert ask("MATCH (m:Memory {id: 'memory:1'})-[*]->(b:Model) RETURN b.id AS id") == ["orders", "people", "regions"]
+    assert ask("MATCH (m:Memory)<-[]-(b) RETURN b.id AS id") == []
+    assert ask("MATCH (r:Model {id: 'regions'})<-[*]-(m:Memory) RETURN m.id AS id") == ["memory:1", "memory:2"]
+    assert ask("MATCH (r:Model {id: 'regions'})<-[*3..]-(m:Memory) RETURN m.id AS id") == ["memory:1"]

@@ -19,7 +19,7 @@ semantic_models:
       - {name: shelf, type: categorical}
       - {name: lent_on, type: time, type_params: {time_granularity: day}}
     measures:
-      - {name: days_out, agg: sum, expr: days, label: Days out}
+      - {name: days_out, agg: sum, expr: days, label: Days out, description: All days, config: {meta: {owner: desk}}}
       - {name: usual, agg: average, expr: days}
       - {name: hours, agg: sum, expr: days * 24}
       - {name: n_loans, agg: count, expr: 1}
@@ -32,6 +32,11 @@ semantic_models:
     entities: [{name: reader, type: primary, expr: id}]
     dimensions: [{name: town, type: categorical}]
     measures: [{name: eldest_age, agg: max, expr: age}]
+models:
+  - name: fct_loans
+  - name: shelves
+    description: Where books stand
+    columns: [{name: code, data_type: varchar(8), description: Its sign, constraints: [{type: primary_key}]}, {name: metres, data_type: "numeric(8,2)"}]
 metrics:
   - {name: days_out, type: simple, type_params: {measure: days_out}}
   - {name: all_days, type: simple, type_params: {measure: {name: days_out}}}
@@ -115,13 +120,22 @@ def test_dbt_measures_and_metrics(spark, tables):
     assert [r[1:] for r in sorted(values(spark, tables, made, "running", "gain", **month))] == [(35, None), (82, 12)]
 
 
+def test_dbt_models_without_a_semantic_model():
+    made = dbt.convert([DBT])
+    shelves = next(m for m in made.models if m.name == "shelves")
+    assert (shelves.sql_table, shelves.description) == ("shelves", "Where books stand")
+    assert [(c.name, c.type, c.primary_key, c.description) for c in shelves.columns] == [("code", "TEXT", True, "Its sign"), ("metres", "DOUBLE", False, None)]
+    days = made.models[0].measure("days_out")
+    assert (days.label, days.description, days.meta) == ("Days out", "All days", {"owner": "desk"})
+
+
 def test_dbt_refuses_what_it_cannot_say():
     made = dbt.convert([DBT])
     assert {i.entity: i.category for i in made.issues} == {
         "loans.on_loan": "semi-additive measure", "loans.lead": "name of a transform", "fortnight": "rolling window", "of_fortnight": "input",
         "rate_before": "offset of a composed metric", "joined_up": "metric", "knot": "metric",
     }
-    assert made.report().endswith("2 models, 7 unconverted, 0 dropped")
+    assert made.report().endswith("3 models, 7 unconverted, 0 dropped")
 
 
 def test_osi_metrics(spark, tables):
@@ -142,5 +156,5 @@ def test_osi_refuses_what_it_cannot_say():
 def test_folders_are_read(tmp_path):
     (tmp_path / "first.yml").write_text(yaml.safe_dump(DBT))
     (tmp_path / "second.json").write_text('{"version": "9", "semantic_model": []}')
-    assert [m.name for m in dbt.read(str(tmp_path)).models] == ["loans", "readers"]
+    assert [m.name for m in dbt.read(str(tmp_path)).models] == ["loans", "readers", "shelves"]
     assert [i.severity for i in osi.read(str(tmp_path)).issues] == ["info"]
