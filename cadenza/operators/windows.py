@@ -29,7 +29,7 @@ def window_transform(name: str, value: Column, dims: list[str], time: str, n: in
     raise CadenzaError(f"{name} is no window transform")
 
 
-def _steps(value: str) -> Column:
+def steps(value: str) -> Column:
     """A whole number that never falls as `value` falls to rise: equal steps of the logarithm, NaN on top, null at the bottom."""
     x = F.col(value).cast("double")
     step = F.signum(x) * F.floor(F.log2(F.abs(x) + 1) * 64)
@@ -52,7 +52,7 @@ def ranked(df: DataFrame, name: str, value: str, parts: list[str], keys: list[st
         over = Window.partitionBy(*parts).orderBy(*order)
         place = F.ntile(n).over(over) if name == "ntile" else RANKS[name]().over(over)
         return df.withColumn(out, place if name == "percent_rank" else place.cast("long"))
-    stepped = df.withColumn("_step", _steps(value))
+    stepped = df.withColumn("_step", steps(value))
     many = stepped.groupBy("_step").agg(F.count(F.lit(1)).alias("_rows"), F.count_distinct(F.coalesce(value, F.lit(0))).alias("_values"))
     above = Window.partitionBy().orderBy(F.col("_step").desc())  # one row for each step
     before = above.rowsBetween(Window.unboundedPreceding, -1)

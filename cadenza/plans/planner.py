@@ -22,12 +22,14 @@ from ..errors import CadenzaError, JoinPathError, NotAllowed, UnknownName
 from ..functions import scalars
 from ..functions.calendar import aligned, bucket_sql, duration, moved_sql, period_end, period_start, widened
 from ..operators.aggregate import agg_column, grouped
+from ..operators.quantile import quantile
 from ..operators.relation import Path, Relation, sql_names
 from ..operators.trailing import trailing
 from ..operators.windows import RANKS, ranked, streak, streak_parts, window_transform
 from ..semantics import SQL_TYPES, Measure, Model, Query
 
 _WORD = re.compile(r"\W+")
+QUANTILES = {"percentile", "median"}
 RANK_NAMES = {*RANKS, "ntile"}
 
 
@@ -406,7 +408,7 @@ class Planner:
         if dict(a.kwargs).get("window"):
             return True
         path, name = self.locate(a.path)
-        if path:
+        if path or a.name in QUANTILES:
             return True
         column = self.model.column(name)
         if not column or not column.filter:
@@ -434,6 +436,8 @@ class Planner:
             return self._trailing(base, a, out, shift)
         if path:
             return self._cross(base, a, path, name, out, shift)
+        if a.name in QUANTILES:
+            return self._quantile(base, a, name, out, shift)
         # A filter that reaches another model is this aggregate's WHERE; its joins are no one else's.
         rel = self._relation(shift)
         keys = [(k.id, self._key_sql(rel, k)) for k in self.keys]
@@ -479,6 +483,22 @@ class Planner:
         part = trailing(rows, base.select(*ids).distinct(), ids, key.id, key.granularity, dict(a.kwargs)["window"], a.name, out)
         return self._attach(base, part, ids, out)
 
+    def _quantile(self, base: DataFrame, a: Agg, name: str, out: str, shift) -> DataFrame:
+        rel = self._relation(shift)
+        keys = [(k.id, self._key_sql(rel, k)) for k in self.keys]
+        conditions = self.filtered(rel, self.where, self._ranges()) + self._moved_reach(rel, shift)
+        self._agg(rel, a)  # the rules hold here too
+        column, value = self.model.column(name), rel.column_sql((), name)
+        if column and column.filter:
+            value = f"CASE WHEN {rel.expand((), column.filter)} THEN {value} END"
+        df = rel.frame()
+        for c in conditions:
+            df = df.filter(c)
+        rows = df.select(*[F.expr(s).alias(i) for i, s in keys], F.expr(value).alias("_value"))
+        p = 0.5 if a.name == "median" else float(dict(a.kwargs).get("p", a.args[0] if a.args else 0.5))
+        ids = [k.id for k in self.keys]
+        return self._attach(base, quantile(rows, ids, p, out), ids, out)
+
     def _cross(self, base: DataFrame, a: Agg, path: Path, name: str, out: str, shift) -> DataFrame:
         """A measure of a joined model: aggregated from that model's rows by the keys reachable from there."""
         target = self.engine.model_at(self.model, path)
