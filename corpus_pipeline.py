@@ -2,6 +2,12 @@
 documents with benchmark passages go, and what is left is mixed to target weights.
 
 Each stage takes (spark, docs, sf_dir) and is written as Parquet before the next one reads it.
+
+Defined cases: a null or empty text is scored like any other, loses no line, has no near-duplicate, holds no passage and has size 0, so the mix lists it
+and takes nothing of it; a null id stays through all stages (it is no one's duplicate and counts for no line); rows that repeat an id are scored and
+judged each by its text, lose the same lines, stay together in near_dedup if one of them stays, and are mixed each; a null source
+is a source of its own; empty documents give no rows, empty labels a classifier that rejects nothing, an empty
+benchmark rejects nothing. Other columns are carried to the last stage but one.
 """
 
 from __future__ import annotations
