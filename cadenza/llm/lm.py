@@ -41,7 +41,7 @@ PART_TOKENS = 1 << 20
 #: Tokens that a partition of the table of rare words is made for.
 WORD_TOKENS = 4 << 20
 #: Bytes of text whose pairs are packed together.
-PACK_BYTES = 16 << 20
+PACK_BYTES = 8 << 20
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
