@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +43,28 @@ def keep_bucketed(df: DataFrame, name: str, buckets: int, keys: list[str]) -> tu
     return spark.table(table_name), table_name
 
 
+#: Bits of a map that goes to the tasks, at most (32 MB).
+MAP_BITS = 28
+
+
+class BitMap:
+    """Which of 64-bit hashes may be among those of a column: a map of bounded size, put together in the cluster."""
+
+    def __init__(self, hashes: DataFrame, rows: int, each: int = 256, most: int = MAP_BITS):
+        """`hashes` has one column of longs and `rows` rows; `each` is how many bits a row has, while there is room."""
+        self.bits = min(most, max(16, (rows * each).bit_length()))
+        slot = F.shiftrightunsigned(F.col(hashes.columns[0]), 64 - self.bits)
+        one = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{hashes.columns[0]}`, {64 - self.bits}) & 63 as int))")
+        got = hashes.groupBy(F.shiftrightunsigned(slot, 6).alias("at")).agg(F.bit_or(one).alias("word")).toArrow()  # 2 ** (bits - 6) rows at most
+        self.map = np.zeros(1 << (self.bits - 6), np.uint64)
+        self.map[got["at"].to_numpy()] = got["word"].to_numpy().view(np.uint64)
+
+    def among(self, hashes: np.ndarray) -> np.ndarray:
+        """A mark for each hash that passes; all that are in the column do."""
+        slot = hashes >> np.uint64(64 - self.bits)
+        return (self.map[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def _new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that goes when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -29,14 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._io import keep
+from ._io import MAP_BITS, BitMap, keep
 from ._text import Words, ngrams, slices, strings, tidy, words
 
 WINDOW = 10
 SHINGLE = 3
-#: Bits of the map of shingles that goes to the tasks, at most; and bits for each shingle, while there is room.
-FILTER_BITS = 28
-_BITS_EACH = 256
+#: Bits of the map of shingles that goes to the tasks, at most.
+FILTER_BITS = MAP_BITS
 #: Bytes up to which a measured side of a join is broadcast.
 SMALL_BYTES = 16 << 20
 #: Parts that a key is split into in joins with a larger side.
@@ -73,23 +72,16 @@ class TokenFilter:
     """A bit map of tokens and the widths they have; `places` finds tokens that may be among them."""
 
     def __init__(self, tokens: DataFrame, bits: int = FILTER_BITS):
-        """`tokens` has token and width; the map is put together in the cluster, 64 bits a row."""
+        """`tokens` has token and width."""
         seen = tokens.agg(F.count(F.lit(1)), F.collect_set("width")).first()
         self.widths = sorted(seen[1])
-        self.bits = min(bits, max(16, (int(seen[0]) * _BITS_EACH).bit_length()))
-        rest = 64 - self.bits
-        slot = F.shiftrightunsigned("token", rest)
-        rows = tokens.groupBy(F.shiftrightunsigned(slot, 6).alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(token, {rest}) & 63 as int)))").alias("word"))
-        got = rows.toArrow()  # 2 ** (bits - 6) rows at most
-        self.map = np.zeros(1 << (self.bits - 6), np.uint64)
-        self.map[got["at"].to_numpy()] = got["word"].to_numpy().view(np.uint64)
+        self.map = BitMap(tokens.select("token"), int(seen[0]), most=bits)
 
     def places(self, w: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each width: width, the places of tokens that pass, and the tokens there."""
         for width in self.widths:
             tokens = ngrams(w.hash, width)
-            slot = tokens >> np.uint64(64 - self.bits)
-            at = np.flatnonzero(self.map[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1))
+            at = np.flatnonzero(self.map.among(tokens))
             doc = np.searchsorted(w.at, at, "right") - 1
             at = at[at + width <= w.at[doc + 1]]
             yield width, at, tokens[at]

@@ -10,10 +10,10 @@ Candidates, without pairs of a whole bucket:
 2. Each table key with several classes is a star around the one with the smallest id: linear in rows.
    Star pairs are verified on full sets, and verified links joined into components. The pairs of a centre are dealt
    over as many parts as it has `CENTRE` pairs, so a large group of near copies is not one task's work.
-3. A key whose members are then in one component has nothing left to tell. Members of the others
-   meet by that same table key, once for each pair of different components (in the first table they share), if
-   their lengths allow the similarity. The join's own condition verifies the full
-   sets, so it only gives out links. Nothing is capped; large joins are split by AQE.
+3. A key whose members other than the centre are then in one component has nothing left to tell. Those of the others
+   meet by that same table key: pairs of different components, each in the first table that both share, if
+   their lengths and bit maps allow the similarity (a map of about eight bits for each shingle bounds the intersection from
+   above). They are verified like stars. Nothing is capped; large joins are split by AQE.
 Components are found by the distributed large-star/small-star rounds of `_io.components`.
 
 Words and shingles stand as 64-bit hashes (of words: two polynomials modulo primes, so no word is made to equal another by how
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._io import components, keep
+from ._io import BitMap, components, keep
 from ._text import NONSPACE, mix, shingle_sets, slices, strings, tidy, words
 
 SHINGLE = 5
@@ -91,17 +91,54 @@ def signatures(docs: DataFrame) -> DataFrame:
     return own.mapInArrow(tidy(run), "doc_id long, n long, digest binary, u array<long>, v array<long>")
 
 
-def full_sets(docs: DataFrame) -> DataFrame:
-    """Rows digest, set: the sorted shingle hashes of each text that has any."""
+def _bits(set_: np.ndarray) -> np.ndarray:
+    """A bit map of the set, by the low bits of its members: 8 to 16 bits for each of them, 64 at least."""
+    size = max(64, 8 << max(0, len(set_) - 1).bit_length())
+    at = set_ & np.uint64(size - 1)
+    out = np.zeros(size >> 6, np.uint64)
+    np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return out
+
+
+def _may_be_similar(a: str, b: str) -> str:
+    """SQL on two sides with n, bits and ones (the bits set): false only if the sets can't be similar.
+
+    A common member has a common bit, and as many members share a bit as there are more members than bits. Of two sizes of maps (lengths that
+    allow the similarity are less than a factor of two apart) the larger one is folded.
+    """
+
+    def common(x: str, y: str) -> str:
+        return f"aggregate(zip_with({x}, {y}, (p, q) -> bit_count(p & q)), 0, (s, x) -> s + x)"
+
+    def bound(few: str, many: str) -> str:
+        """The map of `many` is twice as large: its halves are put over each other. Only the other's ones are known then."""
+        half = f"size({few}.bits)"
+        folded = f"zip_with(slice({many}.bits, 1, {half}), slice({many}.bits, {half} + 1, {half}), (p, q) -> p | q)"
+        return f"{common(f'{few}.bits', folded)} + {few}.n - {few}.ones"
+
+    same = f"{common(f'{a}.bits', f'{b}.bits')} + least({a}.n - {a}.ones, {b}.n - {b}.ones)"
+    most = f"case when size({a}.bits) = size({b}.bits) then {same} when size({a}.bits) < size({b}.bits) then {bound(a, b)} else {bound(b, a)} end"
+    return f"({most}) * {100 + PERCENT}L >= {PERCENT}L * ({a}.n + {b}.n)"
+
+
+def full_sets(docs: DataFrame, some: BitMap) -> DataFrame:
+    """Of the documents (id, text) whose id's hash `some` lets pass: rows digest, set (the sorted shingle hashes of each text that has any), bits, ones (how many of them are set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [s for sets in _sets(strings(batch.column(0))) for s in sets if len(s)]
+            wanted = batch.filter(pa.array(some.among(batch.column(0).to_numpy().view(np.uint64))))
+            rows = [s for sets in _sets(strings(wanted.column(1))) for s in sets if len(s)]
+            maps = [_bits(s) for s in rows]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([_digest(s) for s in rows], pa.binary()), pa.array([s.view(np.int64) for s in rows], pa.list_(pa.int64()))], ["digest", "set"]
+                [
+                    pa.array([_digest(s) for s in rows], pa.binary()),
+                    *(pa.array([x.view(np.int64) for x in column], pa.list_(pa.int64())) for column in (rows, maps)),
+                    pa.array([int(np.bitwise_count(m).sum()) for m in maps], pa.int64()),
+                ],
+                ["digest", "set", "bits", "ones"],
             )
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(tidy(run), "digest binary, set array<long>")
+    return docs.where("id IS NOT NULL").select(F.xxhash64("id"), "text").mapInArrow(tidy(run), "digest binary, set array<long>, bits array<long>, ones long")
 
 
 def _similar(a: str, b: str) -> str:
@@ -129,35 +166,45 @@ def classes(docs: DataFrame) -> DataFrame:
     named = sig.where("n > 0 AND doc_id IS NOT NULL")
     # Written, so that the joins with it deal both sides afresh and a class of very many copies can be split.
     heads = keep(named.groupBy("digest", "n").agg(F.min("doc_id").alias("rep"), F.any_value("u").alias("u"), F.any_value("v").alias("v")), "classes")
-    tables = heads.select("digest", "rep", "n", F.posexplode("u").alias("i", "x"), "v")
-    tables = tables.select("digest", "rep", "n", "i", "x", F.posexplode("v").alias("j", "y"))
-    rows = tables.select("digest", "rep", "n", "i", "j", F.xxhash64("i", "x", "j", "y").alias("key"))
-    shared = rows.groupBy("key").agg(F.min(F.struct("rep", "digest", "n")).alias("head"), F.count(F.lit(1)).alias("many")).where("many > 1")
+    tables = heads.select("digest", F.posexplode("u").alias("i", "x"), "v")
+    tables = tables.select("digest", "i", "x", F.posexplode("v").alias("j", "y"))
+    rows = tables.select("digest", F.xxhash64("i", "x", "j", "y").alias("key"))
+    shared = rows.groupBy("key").agg(F.min("digest").alias("head"), F.count(F.lit(1)).alias("many")).where("many > 1")
     live = keep(rows.join(shared.select("key", "head"), "key"), "live")
-    ids = live.select(F.col("digest").alias("_own")).distinct()
-    chosen = live.select(F.col("rep").alias("_id")).distinct()
+    of_live = heads.join(live.select(F.col("digest").alias("_own")).distinct(), F.col("digest") == F.col("_own"), "left_semi")
+    known = keep(of_live.select(F.col("digest").alias("_known"), "rep", "n", "u", "v"), "known")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    of_live = full_sets(texts.join(chosen, F.col("id") == F.col("_id"), "left_semi"))
-    sets = keep(of_live.groupBy("digest").agg(F.any_value("set").alias("set")).join(ids, F.col("digest") == F.col("_own"), "left_semi"), "sets")
-    star = live.where("digest <> head.digest AND " + _lengths("n", "head.n")).select(F.col("head.digest").alias("a"), F.col("digest").alias("b")).distinct()
-    links = keep(_verified(keep(star, "stars"), sets), "star-links")
+    # The texts stay where they are: a bounded map tells which ones may be needed, the digest which ones are.
+    of_live = full_sets(texts, BitMap(known.select(F.xxhash64("rep")), known.count()))
+    sets = of_live.groupBy("digest").agg(F.any_value("set").alias("set"), F.any_value("bits").alias("bits"), F.any_value("ones").alias("ones"))
+    sets = keep(sets.join(known.select("_known"), F.col("digest") == F.col("_known"), "left_semi"), "sets")
+
+    def sized(pairs: DataFrame) -> DataFrame:
+        """Of pairs a, b the ones whose lengths allow the similarity."""
+        for side in ("a", "b"):
+            pairs = pairs.join(known.select(F.col("_known").alias(side), F.col("n").alias(f"n_{side}")), side)
+        return keep(pairs.where(_lengths("n_a", "n_b")).select("a", "b"), "pairs")
+
+    star = sized(live.where("digest <> head").select(F.col("head").alias("a"), F.col("digest").alias("b")).distinct())
+    links = keep(_verified(star, sets), "star-links")
     label = keep(components(links), "components")
-    # Keys with members in several components: those members meet again, table by table.
-    named_live = live.select("key", "i", "j", "digest", "n").join(label, F.col("digest") == F.col("node"), "left")
-    named_live = named_live.select("key", "i", "j", "digest", "n", F.coalesce("label", "digest").alias("comp"))
+    # Keys with members in several components: those members meet again, table by table. Pairs with the head are done.
+    named_live = live.where("digest <> head").select("key", "digest").join(label, F.col("digest") == F.col("node"), "left")
+    named_live = named_live.select("key", "digest", F.coalesce("label", "digest").alias("comp"))
     mixed = named_live.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     some = keep(named_live.join(mixed.select("key"), "key"), "open")
-    wide = some.join(heads.select("digest", "u", "v"), "digest").join(sets, "digest")
+    wide = some.join(known, F.col("digest") == F.col("_known")).select("key", "digest", "comp", "n", "u", "v")
+    wide = wide.join(sets.select(F.col("digest").alias("_set"), "bits", "ones"), F.col("digest") == F.col("_set"))
     a, b = wide.alias("a"), wide.alias("b")
 
     def first(side: str) -> str:
-        return f"array_position(zip_with(a.{side}, b.{side}, (p, q) -> p = q), true) - 1"
+        """The first place where both have the same half key, and that key."""
+        at = f"cast(array_position(zip_with(a.{side}, b.{side}, (p, q) -> p = q), true) - 1 as int)"
+        return f"{at}, get(a.{side}, {at})"
 
-    met = (
-        "a.key = b.key AND a.digest < b.digest AND a.comp <> b.comp AND a.i = b.i AND a.j = b.j AND " + _lengths("a.n", "b.n")
-        + f" AND {first('u')} = a.i AND {first('v')} = a.j AND " + _similar("a.set", "b.set")
-    )
-    more = keep(a.join(b, F.expr(met)).select(F.col("a.digest").alias("a"), F.col("b.digest").alias("b")), "more-links")
+    met = "a.key = b.key AND a.digest < b.digest AND a.comp <> b.comp AND " + _lengths("a.n", "b.n") + f" AND xxhash64({first('u')}, {first('v')}) = a.key AND " + _may_be_similar("a", "b")
+    again = keep(a.join(b, F.expr(met)).select(F.col("a.digest").alias("a"), F.col("b.digest").alias("b")), "again")
+    more = keep(_verified(again, sets), "more-links")
     if not more.isEmpty():
         label = keep(components(links.union(more)), "components")
     least = heads.join(label, F.col("digest") == F.col("node")).groupBy("label").agg(F.min("rep").alias("component"))

@@ -72,3 +72,13 @@ def test_queries_without_oracle(spark, folder):
         r = made["op4_pii"][i]
         assert (r.text, r.n_found) == (out, len(found))
         assert made["op2_mixing"][i]["size"] == len(text.split())
+
+
+@pytest.mark.parametrize("docs", [[], [(None, None, "x", None, 0), (1, "", "x", "a", 0), (1, "some words here", "x", "a", 15), (2, None, "x", "b", None), (None, "a b c d e f", "x", None, 11)]])
+def test_run_on_empty_tables_and_odd_rows(spark, tmp_path, docs):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(docs, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), str(r.source), r["size"]) for r in got) == sorted((str(i), str(s), len((t or "").split())) for i, t, _, s, _ in docs)
