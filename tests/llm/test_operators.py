@@ -610,22 +610,3 @@ def test_fingerprint_rows_by_the_samples(spark):
         assert (r.edited, r.n_chars) == (edited, len(text))
         assert (r.fingerprint, r.edited_fingerprint) == tuple("".join(f"{x:04x}" for x in s) for s in (own[k], new))
         assert r.near_edited == np.mean(own[k] == new) and r.near_next == np.mean(own[k] == own[(k + 1) % len(TEXTS)])
-
-
-def test_bit_maps_never_hide_a_link(spark):
-    rng, rows = np.random.default_rng(1), []
-    for _ in range(300):
-        n = int(rng.integers(1, 700))
-        m = int(n * rng.uniform(0.75, 1.3)) + 1
-        common = int(min(n, m) * rng.choice([0.5, 0.7, 0.8, 0.86, 0.9, 0.95, 1.0]))
-        pool = np.unique(rng.integers(0, 2**63, 4 * (n + m), dtype=np.uint64))
-        rng.shuffle(pool)
-        sides = np.sort(pool[:n]), np.sort(np.concatenate([pool[:common], pool[n : n + m - common]]))
-        maps = [neardup._bits(x) for x in sides]
-        both, either = len(np.intersect1d(*sides)), len(np.union1d(*sides))
-        rows.append((*((len(x), b.view(np.int64).tolist(), int(np.bitwise_count(b).sum())) for x, b in zip(sides, maps, strict=True)), 100 * both >= 75 * either))
-    side = "struct<n: bigint, bits: array<bigint>, ones: bigint>"
-    df = spark.createDataFrame(rows, f"a {side}, b {side}, similar boolean")
-    got = df.select("similar", F.expr(neardup._may_be_similar("a", "b")).alias("may")).collect()
-    assert not [r for r in got if r.similar and not r.may]
-    assert sum(r.may and not r.similar for r in got) < 0.1 * sum(not r.similar for r in got)
