@@ -38,8 +38,22 @@ def _inside(value: str, condition: str | None) -> str:
     return f"CASE WHEN {condition} THEN {value} END" if condition else value
 
 
-def agg_column(rel: Relation, path: Path, name: str, agg: str, args: tuple, kwargs: dict, time: str | None, as_filter: bool = False) -> Column:
-    """The aggregate as a Column over `rel`'s frame. `time` orders first and last; `as_filter` leaves the column's own filter to a WHERE."""
+def _steady(agg: str, value: str) -> Column:
+    """The sum or mean of doubles as a sum of decimals, which is the same in any order of the rows; equal groups tie.
+
+    Where a value isn't kept by the decimal (over 10 ** 15, or of more than 17 places) or the sum has no room, the group is summed as doubles.
+    """
+    exact = f"try_cast({value} AS DECIMAL(32, 17))"
+    kept = f"count({value}) = count_if(CAST({exact} AS DOUBLE) = {value})"
+    total = f"CASE WHEN {kept} THEN coalesce(CAST(try_sum({exact}) AS DOUBLE), sum({value})) ELSE sum({value}) END"
+    return F.expr(total if agg == "sum" else f"try_divide({total}, CAST(count({value}) AS DOUBLE))")
+
+
+def agg_column(rel: Relation, path: Path, name: str, agg: str, args: tuple, kwargs: dict, time: str | None, as_filter: bool = False, steady: bool = False) -> Column:
+    """The aggregate as a Column over `rel`'s frame. `time` orders first and last; `as_filter` leaves the column's own filter to a WHERE.
+
+    `steady`: sums and means of doubles don't depend on the order of the rows.
+    """
     model = rel.model_at(path)
     if name == "*":
         if agg != "count":
@@ -64,6 +78,8 @@ def agg_column(rel: Relation, path: Path, name: str, agg: str, args: tuple, kwar
 
     if agg == "sum" and kind == "BOOLEAN":
         return F.expr(f"sum(CAST({kept} AS INT))")
+    if steady and agg in ("sum", "avg") and _type(rel, value) in ("double", "float"):
+        return _steady(agg, f"CAST(({kept}) AS DOUBLE)")
     if agg in ("count", "sum", "avg", "min", "max", "median", "stddev_samp", "stddev_pop", "var_samp", "var_pop"):
         return F.expr(f"{agg}({kept})")
     if agg == "count_distinct":

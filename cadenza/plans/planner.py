@@ -101,6 +101,7 @@ class Planner:
     def __init__(self, engine, query: Query, model: Model, variables: dict):
         self.engine, self.query, self.model = engine, query, model
         self.counter = 0
+        self.ranks = False
         self.moved_measures: list[str] = []
         self.keys = self._keys()
         self.measures = [(m, self.bind(dsl.parse(m.formula))) for m in query.measures if not self._is_dimension(m)]
@@ -428,7 +429,7 @@ class Planner:
                 time = rel.column_sql(*self.locate(rel.root.default_time_dimension, rel.root))
         kwargs = {k: v for k, v in a.kwargs if k != "window"}
         args = () if a.name in ("first", "last") else a.args
-        return agg_column(rel, path, name, a.name, args, kwargs, time, as_filter)
+        return agg_column(rel, path, name, a.name, args, kwargs, time, as_filter, self.ranks)
 
     def _join_apart(self, base: DataFrame, a: Agg, out: str, shift) -> DataFrame:
         path, name = self.locate(a.path)
@@ -648,6 +649,7 @@ class Planner:
         orders = [(self._order_node(o.column), o) for o in q.order]
         nodes = [n for _, n in self.measures] + self.having + self.post + [n for n, _ in orders if not isinstance(n, str)]
         aggs = [a for n in nodes for a in dsl.aggregates(n)]
+        self.ranks = any(isinstance(c, Call) and c.name in RANK_NAMES for n in nodes for c in dsl.walk(n))
         grid = self.grid(aggs)
         for node in self.having:
             grid.df = grid.df.filter(self.evaluate(grid, node))

@@ -130,6 +130,14 @@ def test_ranks_over_all_rows(engine):
     assert ask(engine, "loads", {"formula": "percent_rank(kilos:sum)", "name": "p"}, {"formula": "ntile(kilos:sum, n=5)", "name": "t"}) == [(0, 1)]
 
 
+def test_ranks_of_sums_do_not_depend_on_the_order_of_rows(engine):
+    """0.1 + 0.2 + 0.3 and 0.3 + 0.2 + 0.1 differ as doubles; so do sums that meet 1e15 first or last."""
+    rows = "(1, 0.1D), (1, 0.2D), (1, 0.3D), (2, 0.3D), (2, 0.2D), (2, 0.1D), (3, 9e14D), (3, 0.06D), (3, 0.06D), (4, 0.06D), (4, 0.06D), (4, 9e14D), (5, 1e300D), (5, 1D), (6, NULL)"
+    model = {"name": "g", "sql": f"SELECT * FROM VALUES {rows} AS t(id, v)", "columns": [{"name": "id"}, {"name": "v"}]}
+    ranks = [{"formula": f, "name": n} for f, n in (("rank(v:sum)", "a"), ("dense_rank(v:sum - 1)", "b"), ("rank(v:avg)", "c"))]
+    assert sorted(ask(engine, model, *ranks, dimensions=["id"])) == [(1, 4, 3, 4), (2, 4, 3, 4), (3, 2, 2, 2), (4, 2, 2, 2), (5, 1, 1, 1), (6, 6, 4, 6)]
+
+
 def test_names(engine):
     names = lambda *m, **q: engine.execute({"source_model": "loads", "measures": list(m), **q}).df.columns
     assert names("kilos:sum", "*:count", dimensions=["hives.keeper"]) == ["loads.hives.keeper", "loads.kilos_sum", "loads._count"]
