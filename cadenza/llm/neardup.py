@@ -6,14 +6,15 @@ are made, each half key of `ROWS` minhashes; table (i, j) is keyed by U_i with V
 table with probability (1 - (1 - s ** ROWS) ** HALVES) ** 2: 0.9988 at 0.75 itself, above 0.9999 from 0.8 on.
 
 Candidates, without pairs of a whole bucket:
-1. Equal sets are one class, named by a 128-bit digest of the set; only classes go on.
-2. Each table key with several classes is a star around the one with the smallest id: linear in rows.
+1. Equal sets, by a 128-bit digest of the set, are one class; only classes go on, under numbers given as they are written.
+2. Each table key with several classes is a star around the one with the smallest number: linear in rows.
    Star pairs are verified on full sets, and verified links joined into components. The pairs of a centre are dealt
    over as many parts as it has `CENTRE` pairs, so a large group of near copies is not one task's work.
-3. A key whose members are then in one component has nothing left to tell. Members of the others
+3. A key whose members other than the centre are then in one component has nothing left to tell. Those of the others
    meet by that same table key, once for each pair of different components (in the first table they share), if
    their lengths allow the similarity. The join's own condition verifies the full
    sets, so it only gives out links. Nothing is capped; large joins are split by AQE.
+Texts aren't shuffled: a bit map of bounded size says which ids may be asked for, and only what passes it goes on to the exact join.
 Components are found by the distributed large-star/small-star rounds of `_io.components`.
 
 Words and shingles stand as 64-bit hashes (of words: two polynomials modulo primes, so no word is made to equal another by how
@@ -30,11 +31,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._io import components, keep
+from ._io import BitMap, components, keep
 from ._text import NONSPACE, mix, shingle_sets, slices, strings, tidy, words
 
 SHINGLE = 5
@@ -91,17 +93,18 @@ def signatures(docs: DataFrame) -> DataFrame:
     return own.mapInArrow(tidy(run), "doc_id long, n long, digest binary, u array<long>, v array<long>")
 
 
-def full_sets(docs: DataFrame) -> DataFrame:
-    """Rows digest, set: the sorted shingle hashes of each text that has any."""
+def full_sets(docs: DataFrame, some: BitMap) -> DataFrame:
+    """Of the documents (id, text) whose id's hash passes `some` rows digest, set: the sorted shingle hashes of each text that has any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [s for sets in _sets(strings(batch.column(0))) for s in sets if len(s)]
+            wanted = batch.filter(pa.array(some.among(batch.column(0).to_numpy().view(np.uint64))))
+            rows = [s for sets in _sets(strings(wanted.column(1))) for s in sets if len(s)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([_digest(s) for s in rows], pa.binary()), pa.array([s.view(np.int64) for s in rows], pa.list_(pa.int64()))], ["digest", "set"]
             )
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(tidy(run), "digest binary, set array<long>")
+    return docs.where("id IS NOT NULL").select(F.xxhash64("id"), "text").mapInArrow(tidy(run), "digest binary, set array<long>")
 
 
 def _similar(a: str, b: str) -> str:
@@ -114,11 +117,12 @@ def _lengths(a: str, b: str) -> str:
 
 
 def _verified(star: DataFrame, sets: DataFrame, centre: int = CENTRE) -> DataFrame:
-    """Of pairs a (a centre), b the ones whose full sets are similar."""
+    """Of pairs a (a centre), b the ones whose full sets are similar. `sets` has the name of a set and the set."""
+    sets = sets.toDF("name", "set")
     parts = keep(star.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / centre).cast("int").alias("parts")), "centres")
-    left = sets.select(F.col("digest").alias("a"), F.col("set").alias("set_a")).join(parts, "a")
+    left = sets.select(F.col("name").alias("a"), F.col("set").alias("set_a")).join(parts, "a")
     left = left.select("a", "set_a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    right = sets.select(F.col("digest").alias("b"), F.col("set").alias("set_b"))
+    right = sets.select(F.col("name").alias("b"), F.col("set").alias("set_b"))
     dealt = star.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
     return dealt.join(right, "b").join(left, ["a", "part"]).where(F.expr(_similar("set_a", "set_b"))).select("a", "b")
 
@@ -127,41 +131,44 @@ def classes(docs: DataFrame) -> DataFrame:
     """Rows doc_id, n (set size), component (smallest doc_id reachable; the own one without links)."""
     sig = keep(signatures(docs), "signatures")
     named = sig.where("n > 0 AND doc_id IS NOT NULL")
-    # Written, so that the joins with it deal both sides afresh and a class of very many copies can be split.
-    heads = keep(named.groupBy("digest", "n").agg(F.min("doc_id").alias("rep"), F.any_value("u").alias("u"), F.any_value("v").alias("v")), "classes")
-    tables = heads.select("digest", "rep", "n", F.posexplode("u").alias("i", "x"), "v")
-    tables = tables.select("digest", "rep", "n", "i", "x", F.posexplode("v").alias("j", "y"))
-    rows = tables.select("digest", "rep", "n", "i", "j", F.xxhash64("i", "x", "j", "y").alias("key"))
-    shared = rows.groupBy("key").agg(F.min(F.struct("rep", "digest", "n")).alias("head"), F.count(F.lit(1)).alias("many")).where("many > 1")
+    # Written, so that the joins with it deal both sides afresh and a class of very many copies can be split, and the numbers stay.
+    heads = named.groupBy("digest", "n").agg(F.min("doc_id").alias("rep"), F.any_value("u").alias("u"), F.any_value("v").alias("v"))
+    heads = keep(heads.withColumn("own", F.monotonically_increasing_id()), "classes")
+    tables = heads.select("own", F.posexplode("u").alias("i", "x"), "v")
+    tables = tables.select("own", "i", "x", F.posexplode("v").alias("j", "y"))
+    rows = tables.select("own", F.xxhash64("i", "x", "j", "y").alias("key"))
+    shared = rows.groupBy("key").agg(F.min("own").alias("head"), F.count(F.lit(1)).alias("many")).where("many > 1")
     live = keep(rows.join(shared.select("key", "head"), "key"), "live")
-    ids = live.select(F.col("digest").alias("_own")).distinct()
-    chosen = live.select(F.col("rep").alias("_id")).distinct()
+    known = keep(heads.join(live.select("own").distinct(), "own", "left_semi").select("own", "digest", "rep", "n", "u", "v"), "known")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    of_live = full_sets(texts.join(chosen, F.col("id") == F.col("_id"), "left_semi"))
-    sets = keep(of_live.groupBy("digest").agg(F.any_value("set").alias("set")).join(ids, F.col("digest") == F.col("_own"), "left_semi"), "sets")
-    star = live.where("digest <> head.digest AND " + _lengths("n", "head.n")).select(F.col("head.digest").alias("a"), F.col("digest").alias("b")).distinct()
-    links = keep(_verified(keep(star, "stars"), sets), "star-links")
+    of_live = full_sets(texts, BitMap(known.select(F.xxhash64("rep")), known.count()))
+    sets = keep(of_live.groupBy("digest").agg(F.any_value("set").alias("set")).join(known.select("digest", "own"), "digest").select("own", "set"), "sets")
+    star = live.where("own <> head").select(F.col("head").alias("a"), F.col("own").alias("b")).distinct()
+    for side in ("a", "b"):
+        star = star.join(known.select(F.col("own").alias(side), F.col("n").alias(f"n_{side}")), side)
+    links = keep(_verified(keep(star.where(_lengths("n_a", "n_b")).select("a", "b"), "stars"), sets), "star-links")
     label = keep(components(links), "components")
-    # Keys with members in several components: those members meet again, table by table.
-    named_live = live.select("key", "i", "j", "digest", "n").join(label, F.col("digest") == F.col("node"), "left")
-    named_live = named_live.select("key", "i", "j", "digest", "n", F.coalesce("label", "digest").alias("comp"))
+    # Keys with members in several components: those members meet again, table by table. Pairs with the head are done.
+    named_live = live.where("own <> head").join(label, F.col("own") == F.col("node"), "left").select("key", "own", F.coalesce("label", "own").alias("comp"))
     mixed = named_live.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     some = keep(named_live.join(mixed.select("key"), "key"), "open")
-    wide = some.join(heads.select("digest", "u", "v"), "digest").join(sets, "digest")
+    wide = some.join(known.select("own", "n", "u", "v"), "own").join(sets, "own")
     a, b = wide.alias("a"), wide.alias("b")
 
     def first(side: str) -> str:
-        return f"array_position(zip_with(a.{side}, b.{side}, (p, q) -> p = q), true) - 1"
+        """The first place where both have the same half key, and that key."""
+        at = f"cast(array_position(zip_with(a.{side}, b.{side}, (p, q) -> p = q), true) - 1 as int)"
+        return f"{at}, get(a.{side}, {at})"
 
     met = (
-        "a.key = b.key AND a.digest < b.digest AND a.comp <> b.comp AND a.i = b.i AND a.j = b.j AND " + _lengths("a.n", "b.n")
-        + f" AND {first('u')} = a.i AND {first('v')} = a.j AND " + _similar("a.set", "b.set")
+        "a.key = b.key AND a.own < b.own AND a.comp <> b.comp AND " + _lengths("a.n", "b.n")
+        + f" AND xxhash64({first('u')}, {first('v')}) = a.key AND " + _similar("a.set", "b.set")
     )
-    more = keep(a.join(b, F.expr(met)).select(F.col("a.digest").alias("a"), F.col("b.digest").alias("b")), "more-links")
+    more = keep(a.join(b, F.expr(met)).select(F.col("a.own").alias("a"), F.col("b.own").alias("b")), "more-links")
     if not more.isEmpty():
         label = keep(components(links.union(more)), "components")
-    least = heads.join(label, F.col("digest") == F.col("node")).groupBy("label").agg(F.min("rep").alias("component"))
-    of_class = heads.join(label.join(least, "label").select("node", "component"), F.col("digest") == F.col("node"), "left")
+    least = heads.join(label, F.col("own") == F.col("node")).groupBy("label").agg(F.min("rep").alias("component"))
+    of_class = heads.join(label.join(least, "label").select("node", "component"), F.col("own") == F.col("node"), "left")
     of_class = keep(of_class.select(F.col("digest").alias("_digest"), F.coalesce("component", "rep").alias("component")), "labels")
     out = sig.select("doc_id", "n", "digest").join(of_class, F.col("digest") == F.col("_digest"), "left")
     linked = F.col("doc_id").isNotNull() & (F.col("n") > 0)
@@ -174,5 +181,10 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     Of rows that repeat a doc_id all stay if one does.
     """
     found = classes(docs).groupBy("doc_id").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-    gone = found.where("doc_id <> most").select(F.col("doc_id").alias("_near_id"))
-    return docs.join(gone, docs["doc_id"] == F.col("_near_id"), "left_anti")
+    gone = keep(found.where("doc_id <> most").select(F.col("doc_id").alias("_near_id")), "gone")
+    some = BitMap(gone.select(F.xxhash64("_near_id")), gone.count())
+    among = F.pandas_udf(lambda hashes: pd.Series(some.among(hashes.to_numpy().view(np.uint64))), "boolean")
+    passes = among(F.xxhash64(docs["doc_id"].cast("long")))
+    # Only rows that may have to go, a few more than those that do, are dealt out for the exact join.
+    asked = docs.where(passes)
+    return docs.where(~passes).union(asked.join(gone, asked["doc_id"] == F.col("_near_id"), "left_anti"))

@@ -231,6 +231,18 @@ def test_members_of_a_table_in_other_components_are_linked(spark, monkeypatch):
     assert got == brute_classes(docs)
 
 
+def test_documents_that_stay_are_not_dealt_out(spark, monkeypatch):
+    """Only documents that may have to go meet the ids that go; a full bit map only makes them more."""
+    docs = [*near_corpus()[:60], (None, prose(1, 60, 5000), "a")]
+    kept = neardup.drop_near_duplicates(table(spark, docs))
+    plan = kept._jdf.queryExecution().optimizedPlan()
+    assert plan.nodeName() == "Union" and "Join" not in plan.children().head().toString()
+    want = sorted((str(r.doc_id), r.text) for r in kept.collect())
+    assert len(want) < len(docs) and ("None", prose(1, 60, 5000)) in want
+    monkeypatch.setattr(neardup.BitMap, "among", lambda self, hashes: np.ones(len(hashes), bool))
+    assert sorted((str(r.doc_id), r.text) for r in neardup.drop_near_duplicates(table(spark, docs)).collect()) == want
+
+
 def test_stars_are_dealt(spark):
     sets = spark.createDataFrame([(bytearray([k]), [1, 2, 3, k]) for k in range(20)], "digest binary, set array<long>")
     star = spark.createDataFrame([(bytearray([1]), bytearray([k])) for k in range(2, 20)], "a binary, b binary")
