@@ -65,6 +65,19 @@ class BitMap:
         return (self.map[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
+def join_dealt(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join of sides that grow with the input: both are dealt and sorted, neither is broadcast.
+
+    Spark sizes a table by its files, which are compressed, and takes an explode for as large as what it explodes; so it would broadcast
+    sides of many times its threshold.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
+#: Rows of a side that was counted up to which Spark may broadcast it (a few MB of numbers).
+FEW_ROWS = 1 << 17
+
+
 def _new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that goes when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -82,7 +95,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates the large-star and small-star steps, each a minimum by node joined
     back to the links, until the links no longer change. All of it is distributed; the driver
-    sees a count and a checksum for each round. No links give no rows.
+    sees a count and a checksum for each round, and no more than `FEW_ROWS` links are broadcast. No links give no rows.
     """
     now = keep(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links"
@@ -93,12 +106,13 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(seen) == before or not seen[0]:
             break
         before = tuple(seen)
+        met = DataFrame.join if seen[0] <= FEW_ROWS else join_dealt
         both = now.union(now.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        large = met(both, least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         large = keep(large.where("a <> b").distinct(), "large-star")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        small = met(large, least, "a")
         now = keep(
             small.select(F.col("b").alias("a"), F.col("m").alias("b"))
             .union(small.select("a", "m"))

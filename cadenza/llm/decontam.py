@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._io import MAP_BITS, BitMap, keep
+from ._io import FEW_ROWS, MAP_BITS, BitMap, join_dealt, keep
 from ._text import Words, ngrams, slices, strings, tidy, words
 
 WINDOW = 10
@@ -155,7 +155,7 @@ def _joined(many: DataFrame, few: DataFrame, key: str, weight: str, small: int)
         return many.join(F.broadcast(few), key)  # measured
     salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     dealt = many.withColumn("_salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
-    return dealt.join(few.withColumn("_salt", salt), [key, "_salt"]).drop("_salt")
+    return join_dealt(dealt, few.withColumn("_salt", salt), [key, "_salt"]).drop("_salt")
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, bits: int = FILTER_BITS, small: int = SMALL_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -189,6 +189,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, bit
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """The documents, with all their columns, in which no window of the benchmark occurs."""
-    gone = occurrences(docs, benchmark, size)[1].select(F.hex("digest").alias("_digest")).distinct()
+    gone = keep(occurrences(docs, benchmark, size)[1].select(F.hex("digest").alias("_digest")).distinct(), "contaminated")
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    return docs.join(gone, F.upper(F.md5(text.cast("binary"))) == F.col("_digest"), "left_anti")
+    met = DataFrame.join if gone.count() <= FEW_ROWS else join_dealt
+    return met(docs, gone, F.upper(F.md5(text.cast("binary"))) == F.col("_digest"), "left_anti")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._io import keep, keep_bucketed
+from ._io import FEW_ROWS, join_dealt, keep, keep_bucketed
 from ._text import tidy
 
 LEAST_DOCS = 3
@@ -138,7 +138,8 @@ def dropped_keys(docs: DataFrame, batch_lines: int = BATCH_LINES) -> DataFrame:
         runs.add(part)
     over = keep(runs.repeated(), "repeated")
     runs.close()
-    gone = lines.join(over, ["h1", "h2"]).where("doc_id <> last")
+    met = DataFrame.join if over.count() <= FEW_ROWS else join_dealt
+    gone = met(lines, over, ["h1", "h2"]).where("doc_id <> last")
     return gone.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("h1", "h2")).alias("_drop"))
 
 

@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._io import keep
+from ._io import join_dealt, keep
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -151,6 +151,6 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     ups = pivotal(open_, seed).select(F.col("src").alias("_src"), F.col("doc_id").alias("_doc"), F.col("size").alias("_size"), "up")
     same = F.col("source").eqNullSafe(F.col("_src")) & F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("size") == F.col("_size"))
     copies = F.when(F.col("size") > 0, base + F.coalesce("up", F.lit(0))).otherwise(0).cast("long")
-    done = aimed.join(ups, same, "left").withColumn("copies", copies)
+    done = join_dealt(aimed, ups, same, "left").withColumn("copies", copies)
     each = F.explode(F.expr("sequence(1L, m)"))
     return done.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), each.alias("_n")).drop("_n")

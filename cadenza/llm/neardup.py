@@ -13,7 +13,7 @@ Candidates, without pairs of a whole bucket:
 3. A key whose members other than the centre are then in one component has nothing left to tell. Those of the others
    meet by that same table key, once for each pair of different components (in the first table they share), if
    their lengths allow the similarity. The join's own condition verifies the full
-   sets, so it only gives out links. Nothing is capped; large joins are split by AQE.
+   sets, so it only gives out links. Nothing is capped; large joins are split by AQE. No side of them is broadcast.
 Texts aren't shuffled: a bit map of bounded size says which ids may be asked for, and only what passes it goes on to the exact join.
 Components are found by the distributed large-star/small-star rounds of `_io.components`.
 
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._io import BitMap, components, keep
+from ._io import BitMap, components, join_dealt, keep
 from ._text import NONSPACE, mix, shingle_sets, slices, strings, tidy, words
 
 SHINGLE = 5
@@ -120,11 +120,11 @@ def _verified(star: DataFrame, sets: DataFrame, centre: int = CENTRE) -> DataFra
     """Of pairs a (a centre), b the ones whose full sets are similar. `sets` has the name of a set and the set."""
     sets = sets.toDF("name", "set")
     parts = keep(star.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / centre).cast("int").alias("parts")), "centres")
-    left = sets.select(F.col("name").alias("a"), F.col("set").alias("set_a")).join(parts, "a")
+    left = join_dealt(sets.select(F.col("name").alias("a"), F.col("set").alias("set_a")), parts, "a")
     left = left.select("a", "set_a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     right = sets.select(F.col("name").alias("b"), F.col("set").alias("set_b"))
-    dealt = star.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
-    return dealt.join(right, "b").join(left, ["a", "part"]).where(F.expr(_similar("set_a", "set_b"))).select("a", "b")
+    pairs = join_dealt(star, parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    return join_dealt(join_dealt(pairs, right, "b"), left, ["a", "part"]).where(F.expr(_similar("set_a", "set_b"))).select("a", "b")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -138,21 +138,22 @@ def classes(docs: DataFrame) -> DataFrame:
     tables = tables.select("own", "i", "x", F.posexplode("v").alias("j", "y"))
     rows = tables.select("own", F.xxhash64("i", "x", "j", "y").alias("key"))
     shared = rows.groupBy("key").agg(F.min("own").alias("head"), F.count(F.lit(1)).alias("many")).where("many > 1")
-    live = keep(rows.join(shared.select("key", "head"), "key"), "live")
-    known = keep(heads.join(live.select("own").distinct(), "own", "left_semi").select("own", "digest", "rep", "n", "u", "v"), "known")
+    live = keep(join_dealt(rows, shared.select("key", "head"), "key"), "live")
+    known = keep(join_dealt(heads, live.select("own").distinct(), "own", "left_semi").select("own", "digest", "rep", "n", "u", "v"), "known")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     of_live = full_sets(texts, BitMap(known.select(F.xxhash64("rep")), known.count()))
-    sets = keep(of_live.groupBy("digest").agg(F.any_value("set").alias("set")).join(known.select("digest", "own"), "digest").select("own", "set"), "sets")
+    of_live = of_live.groupBy("digest").agg(F.any_value("set").alias("set"))
+    sets = keep(join_dealt(of_live, known.select("digest", "own"), "digest").select("own", "set"), "sets")
     star = live.where("own <> head").select(F.col("head").alias("a"), F.col("own").alias("b")).distinct()
     for side in ("a", "b"):
-        star = star.join(known.select(F.col("own").alias(side), F.col("n").alias(f"n_{side}")), side)
+        star = join_dealt(star, known.select(F.col("own").alias(side), F.col("n").alias(f"n_{side}")), side)
     links = keep(_verified(keep(star.where(_lengths("n_a", "n_b")).select("a", "b"), "stars"), sets), "star-links")
     label = keep(components(links), "components")
     # Keys with members in several components: those members meet again, table by table. Pairs with the head are done.
-    named_live = live.where("own <> head").join(label, F.col("own") == F.col("node"), "left").select("key", "own", F.coalesce("label", "own").alias("comp"))
+    named_live = join_dealt(live.where("own <> head"), label, F.col("own") == F.col("node"), "left").select("key", "own", F.coalesce("label", "own").alias("comp"))
     mixed = named_live.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    some = keep(named_live.join(mixed.select("key"), "key"), "open")
-    wide = some.join(known.select("own", "n", "u", "v"), "own").join(sets, "own")
+    some = keep(join_dealt(named_live, mixed.select("key"), "key"), "open")
+    wide = join_dealt(join_dealt(some, known.select("own", "n", "u", "v"), "own"), sets, "own")
     a, b = wide.alias("a"), wide.alias("b")
 
     def first(side: str) -> str:
@@ -164,13 +165,13 @@ def classes(docs: DataFrame) -> DataFrame:
         "a.key = b.key AND a.own < b.own AND a.comp <> b.comp AND " + _lengths("a.n", "b.n")
         + f" AND xxhash64({first('u')}, {first('v')}) = a.key AND " + _similar("a.set", "b.set")
     )
-    more = keep(a.join(b, F.expr(met)).select(F.col("a.own").alias("a"), F.col("b.own").alias("b")), "more-links")
+    more = keep(join_dealt(a, b, F.expr(met)).select(F.col("a.own").alias("a"), F.col("b.own").alias("b")), "more-links")
     if not more.isEmpty():
         label = keep(components(links.union(more)), "components")
-    least = heads.join(label, F.col("own") == F.col("node")).groupBy("label").agg(F.min("rep").alias("component"))
-    of_class = heads.join(label.join(least, "label").select("node", "component"), F.col("own") == F.col("node"), "left")
+    least = join_dealt(heads, label, F.col("own") == F.col("node")).groupBy("label").agg(F.min("rep").alias("component"))
+    of_class = join_dealt(heads, join_dealt(label, least, "label").select("node", "component"), F.col("own") == F.col("node"), "left")
     of_class = keep(of_class.select(F.col("digest").alias("_digest"), F.coalesce("component", "rep").alias("component")), "labels")
-    out = sig.select("doc_id", "n", "digest").join(of_class, F.col("digest") == F.col("_digest"), "left")
+    out = join_dealt(sig.select("doc_id", "n", "digest"), of_class, F.col("digest") == F.col("_digest"), "left")
     linked = F.col("doc_id").isNotNull() & (F.col("n") > 0)
     return out.select("doc_id", "n", F.when(linked, F.col("component")).otherwise(F.col("doc_id")).alias("component"))
 
@@ -187,4 +188,4 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     passes = among(F.xxhash64(docs["doc_id"].cast("long")))
     # Only rows that may have to go, a few more than those that do, are dealt out for the exact join.
     asked = docs.where(passes)
-    return docs.where(~passes).union(asked.join(gone, asked["doc_id"] == F.col("_near_id"), "left_anti"))
+    return docs.where(~passes).union(join_dealt(asked, gone, asked["doc_id"] == F.col("_near_id"), "left_anti"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.llm import decontam, fingerprint, linededup, lm, mixing, neardup, pii, quality, secrets, toxicity
+from cadenza.llm import _io, decontam, fingerprint, linededup, lm, mixing, neardup, pii, quality, secrets, toxicity
 from cadenza.llm._text import ALNUM, NONSPACE, mix, shingle_sets, strings, words
 from cadenza.llm.trigrams import trigram_query
 
@@ -243,6 +243,38 @@ def test_documents_that_stay_are_not_dealt_out(spark, monkeypatch):
     assert sorted((str(r.doc_id), r.text) for r in neardup.drop_near_duplicates(table(spark, docs)).collect()) == want
 
 
+@pytest.fixture
+def plans(monkeypatch):
+    """The plans of what is kept, by name; sides with a count are taken for large."""
+    seen, own = {}, _io.keep
+
+    def noted(df, name):
+        out = own(df, name)
+        seen.setdefault(name, []).append(plan_of(df))
+        return out
+
+    for module in (neardup, linededup, mixing, decontam, _io):
+        monkeypatch.setattr(module, "keep", noted)
+    for module in (linededup, decontam, _io):
+        monkeypatch.setattr(module, "FEW_ROWS", 0)
+    return seen
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_other_stages_broadcast_no_side_that_grows(spark, plans):
+    docs = near_corpus()[:60]
+    items = spark.createDataFrame([(k, t) for k, t, _ in docs[20:25]], "item_id long, text string")
+    near, clean = neardup.drop_near_duplicates(table(spark, docs)), decontam.drop_contaminated(table(spark, docs), items)
+    assert all("SortMergeJoin" in p and "Broadcast" not in p for p in map(plan_of, (near, clean)))
+    assert decontam.occurrences(table(spark, docs), items, small=0)[1].count()
+    assert "SortMergeJoin" in plans["occurrences"][-1] and "Broadcast" not in plans["occurrences"][-1]
+    assert re.search(r"SortMergeJoin \[h1", plan_of(linededup.drop_repeated_lines(table(spark, docs))))
+    assert re.search(r"SortMergeJoin \[.*LeftOuter", plan_of(mixing.mix(table(spark, docs))))
+
+
 def test_stars_are_dealt(spark):
     sets = spark.createDataFrame([(bytearray([k]), [1, 2, 3, k]) for k in range(20)], "digest binary, set array<long>")
     star = spark.createDataFrame([(bytearray([1]), bytearray([k])) for k in range(2, 20)], "a binary, b binary")
