@@ -143,17 +143,17 @@ def classes(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     of_live = full_sets(texts, BitMap(known.select(F.xxhash64("rep")), known.count()))
     of_live = of_live.groupBy("digest").agg(F.any_value("set").alias("set"))
-    sets = keep(join_dealt(of_live, known.select("digest", "own"), "digest").select("own", "set"), "sets")
+    sets = keep(join_dealt(of_live, known.select("digest", "own", "n", "u", "v"), "digest").select("own", "n", "u", "v", "set"), "sets")
     star = live.where("own <> head").select(F.col("head").alias("a"), F.col("own").alias("b")).distinct()
     for side in ("a", "b"):
         star = join_dealt(star, known.select(F.col("own").alias(side), F.col("n").alias(f"n_{side}")), side)
-    links = keep(_verified(keep(star.where(_lengths("n_a", "n_b")).select("a", "b"), "stars"), sets), "star-links")
+    links = keep(_verified(keep(star.where(_lengths("n_a", "n_b")).select("a", "b"), "stars"), sets.select("own", "set")), "star-links")
     label = keep(components(links), "components")
     # Keys with members in several components: those members meet again, table by table. Pairs with the head are done.
     named_live = join_dealt(live.where("own <> head"), label, F.col("own") == F.col("node"), "left").select("key", "own", F.coalesce("label", "own").alias("comp"))
     mixed = named_live.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     some = keep(join_dealt(named_live, mixed.select("key"), "key"), "open")
-    wide = join_dealt(join_dealt(some, known.select("own", "n", "u", "v"), "own"), sets, "own")
+    wide = join_dealt(some, sets, "own")
     a, b = wide.alias("a"), wide.alias("b")
 
     def first(side: str) -> str:
